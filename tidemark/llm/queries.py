@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, pii, quality, secret_scan, toxicity, wordpiece
+from tidemark.llm import bpe, decontaminate, pii, quality, secret_scan, topk, toxicity, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -42,8 +46,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(pii.find_pii(_table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_token_counts, op5_secret_scan, op6_quality, op7_byte_bpe, op8_pii)
+    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op5_secret_scan, op6_quality, op7_byte_bpe, op8_pii, op9_exact_topk)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL}
