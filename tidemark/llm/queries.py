@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, pii, quality, secret_scan, topk, toxicity, wordpiece
+from tidemark.llm import bpe, decontaminate, pii, quality, repeats, secret_scan, topk, toxicity, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op5_secret_scan, op6_quality, op7_byte_bpe, op8_pii, op9_exact_topk)
+    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op5_secret_scan, op6_quality, op7_byte_bpe, op8_pii, op9_exact_topk, op10_repeats)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL}

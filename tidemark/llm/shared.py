@@ -199,3 +199,67 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1]
     return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+
+
+# --------------------------------------------------------------------------- documents, ids and copies
+
+#: Rows of ids that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Bytes of per-document notes that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def unique_ids(docs: DataFrame, scratch: Scratch):
+    """``docs`` as (doc_id, text) with one row per id, and a function that turns results back.
+
+    Where every doc_id is there and occurs once, nothing changes.  Else
+    documents are told apart by doc_id and text and numbered in the order of
+    doc_id (null last) and a hash of the text; the function gives each row of
+    ``docs`` its result, and columns of numbers their doc_ids.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return docs, lambda result, *ids: result
+    keyed = docs.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    groups = keyed.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("copies"), F.first("text").alias("text"))
+    ordered = scratch.table(groups.orderBy(F.col("doc_id").asc_nulls_last(), "key"), "ordered")
+    numbered = ordered.select("doc_id", "key", "copies").orderBy(F.col("doc_id").asc_nulls_last(), "key").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    numbers = scratch.table(docs.sparkSession.createDataFrame(numbered, "doc_id long, key string, copies int, number long"), "numbers")
+    same = ordered["doc_id"].eqNullSafe(numbers["doc_id"]) & (ordered["key"] == numbers["key"])
+    new = scratch.table(ordered.join(numbers, same).select(numbers["number"].alias("doc_id"), "text"), "numbered")
+
+    def restore(result: DataFrame, *ids: str) -> DataFrame:
+        columns = result.columns
+        for c in ("doc_id", *ids):
+            named = numbers.select(F.col("number").alias("tidemark_number"), F.col("doc_id").alias("tidemark_id"), F.col("copies").alias("tidemark_copies"))
+            result = result.join(named, result[c] == named["tidemark_number"]).withColumn(c, F.col("tidemark_id"))
+            if c == "doc_id":
+                result = result.withColumn("tidemark_copy", F.explode(F.sequence(F.lit(1), F.col("tidemark_copies")))).drop("tidemark_copy")
+            result = result.select(*columns)
+        return result
+
+    return new, restore
+
+
+def copies_of(keys: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, first): every document of a group equal in ``by`` but the one of the smallest doc_id.
+
+    Group sizes are summed before the shuffle, and the join back is between
+    two written tables, so that Spark can split a large group.
+    """
+    groups = scratch.table(keys.groupBy(*by).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{name}_groups")
+    return scratch.table(keys.join(groups, by).where("doc_id <> first").select("doc_id", "first"), name)
