@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, pii, quality, repeats, secret_scan, topk, toxicity, wordpiece
+from tidemark.llm import bpe, decontaminate, jaccard, pii, quality, repeats, secret_scan, topk, toxicity, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"), wordpiece.pieces_of(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.find_secrets(_table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
 
@@ -55,7 +59,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op5_secret_scan, op6_quality, op7_byte_bpe, op8_pii, op9_exact_topk, op10_repeats)
+    f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op4_jaccard_join, op5_secret_scan, op6_quality, op7_byte_bpe, op8_pii, op9_exact_topk, op10_repeats)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL}

@@ -261,5 +261,5 @@ def copies_of(keys: DataFrame, by: list[str], scratch: Scratch, name: str) -> Da
     Group sizes are summed before the shuffle, and the join back is between
     two written tables, so that Spark can split a large group.
     """
-    groups = scratch.table(keys.groupBy(*by).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{name}_groups")
+    groups = scratch.table(keys.groupBy(*by).agg(F.min("doc_id").alias("first"), F.count("*").alias("tidemark_n")).where("tidemark_n > 1").drop("tidemark_n"), f"{name}_groups")
     return scratch.table(keys.join(groups, by).where("doc_id <> first").select("doc_id", "first"), name)
