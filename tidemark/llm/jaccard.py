@@ -143,9 +143,30 @@ def link(docs: DataFrame, n: int = 5) -> DataFrame:
     are told apart; rows equal in both are one document and each has its
     result.  Other columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession)
+    docs, restore, _ = unique_ids(docs, scratch)
+    return restore(_link(docs, n, scratch), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``docs`` with one document of each component of links: that of the smallest doc_id; columns unchanged.
+
+    Documents without words stay.  Of rows equal in doc_id and text one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    plain, _, numbers = unique_ids(docs, scratch)
+    drop = scratch.table(_link(plain, n, scratch).where("component_id <> doc_id").select("doc_id"), "drop")
+    if numbers is None:
+        gone = small(drop).withColumnRenamed("doc_id", "tidemark_id")
+        return docs.join(gone, docs["doc_id"] == gone["tidemark_id"], "left_anti")
+    stay = scratch.table(numbers.join(drop.withColumnRenamed("doc_id", "number"), "number", "left_anti").select(F.col("doc_id").alias("tidemark_id"), F.col("key").alias("tidemark_key")), "stay")
+    keyed = docs.withColumn("tidemark_md5", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "tidemark_md5"])
+    return keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["tidemark_id"]) & (keyed["tidemark_md5"] == stay["tidemark_key"]), "left_semi").select(*docs.columns)
+
+
+def _link(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """``link`` where every doc_id occurs once."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs, restore = unique_ids(docs, scratch)
     fields = "n long, total long, mixed long, counted array<long>, tail array<long>"
     sketch = scratch.table(map_texts(docs, _sketch(n), fields, "doc_id"), "sketch")
     copies = copies_of(sketch.where("n > 0").select("doc_id", "n", "total", "mixed"), ["n", "total", "mixed"], scratch, "copies")
@@ -223,8 +244,7 @@ def link(docs: DataFrame, n: int = 5) -> DataFrame:
     roots = labels.where("doc_id <> label").select("doc_id", F.col("label").alias("root"))
     known = sizes.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first"))
     named = known.join(roots.select(F.col("doc_id").alias("first"), "root"), "first", "left")
-    result = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
-    return restore(result, "component_id")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
 ORACLE_SQL = r"""

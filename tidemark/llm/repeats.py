@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs, restore = unique_ids(docs, scratch)
+    docs, restore, _ = unique_ids(docs, scratch)
     text = F.coalesce("text", F.lit("")).alias("text")
     copies = copies_of(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")), ["key"], scratch, "copies")
     firsts = docs.select("doc_id", text).join(small(copies.select("doc_id")), "doc_id", "left_anti")

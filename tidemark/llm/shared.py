@@ -223,17 +223,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def unique_ids(docs: DataFrame, scratch: Scratch):
-    """``docs`` as (doc_id, text) with one row per id, and a function that turns results back.
+    """``docs`` as (doc_id, text) with one row per id, a function that turns results back, and the numbering.
 
     Where every doc_id is there and occurs once, nothing changes.  Else
     documents are told apart by doc_id and text and numbered in the order of
     doc_id (null last) and a hash of the text; the function gives each row of
-    ``docs`` its result, and columns of numbers their doc_ids.
+    ``docs`` its result, and columns of numbers their doc_ids.  The numbering
+    (doc_id, key, copies, number) is None where nothing changed; ``key`` is the
+    text's md5.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs, lambda result, *ids: result
+        return docs, lambda result, *ids: result, None
     keyed = docs.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     groups = keyed.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("copies"), F.first("text").alias("text"))
     ordered = scratch.table(groups.orderBy(F.col("doc_id").asc_nulls_last(), "key"), "ordered")
@@ -252,7 +254,7 @@ def unique_ids(docs: DataFrame, scratch: Scratch):
             result = result.select(*columns)
         return result
 
-    return new, restore
+    return new, restore, numbers
 
 
 def copies_of(keys: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
