@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import map_texts
 
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Words of a text that are in work at once, so that memory doesn't follow the longest text.
 AT_ONCE = 400_000
 
@@ -37,81 +37,87 @@ class MergeReplay:
         self.token = {int(r): base64.b64decode(t) for t, r in map(bytes.split, ranks.splitlines()) if t}
         self.rank = {t: r for r, t in self.token.items()}
         self.find = regex.compile(pattern)
-        self.byte = [self.rank.get(bytes([b])) for b in range(256)]
+        self.byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         # merges[a][b] is the rank of the token that symbols a and b make together
-        self.merges: dict[int, dict[int, int]] = {}
+        self.merges: list[dict[int, int]] = [{} for _ in range(max(self.token, default=0) + 1)]
         for token, rank in self.rank.items():
             for i in range(1, len(token)):
                 a = self.rank.get(token[:i])
                 if a is not None:
                     b = self.rank.get(token[i:])
                     if b is not None:
-                        self.merges.setdefault(a, {})[b] = rank
+                        self.merges[a][b] = rank
+        self.byte_pairs = np.array([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; all words are merged together, in rank order."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        index: dict[int, list[int]] = {}
-        merges, none = self.merges, {}
-        for word in words:
-            base = len(symbol)
-            starts.append(base)
-            symbol.extend([self.byte[b] for b in word])
-            n = len(word)
-            after.extend(range(base + 1, base + n))
-            after.append(-1)
-            before.append(-1)
-            before.extend(range(base, base + n - 1))
-            for p in range(base, base + n - 1):
-                r = merges.get(symbol[p], none).get(symbol[p + 1])
-                if r is not None:
-                    index.setdefault(r, []).append(p)
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit integers; all words are merged together, in rank order."""
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        n = len(data)
+        symbols = self.byte[data]
+        if (symbols < 0).any():
+            raise ValueError("the vocabulary lacks single bytes")
+        following, preceding = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following[starts + sizes - 1] = -1
+        preceding[starts] = -1
+        # the inverted index: rank of an applicable merge -> positions of its left symbols
+        ranks = np.full(n, -1, dtype=np.int64)
+        ranks[:-1] = self.byte_pairs[data[:-1], data[1:]]
+        ranks[following < 0] = -1
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        distinct, cuts = np.unique(ranks[at], return_index=True)
+        listed = at.tolist()
+        bounds = [*cuts.tolist(), len(listed)]
+        index = {r: listed[bounds[i] : bounds[i + 1]] for i, r in enumerate(distinct.tolist())}
         heap = list(index)
         heapq.heapify(heap)
-
-        def enter(rank: int, at: int) -> None:
-            if rank not in index:
-                index[rank] = []
-                heapq.heappush(heap, rank)
-            index[rank].append(at)
-
+        symbol, after, before, merges, push = symbols.tolist(), following.tolist(), preceding.tolist(), self.merges, heapq.heappush
         while heap:
             rank = heapq.heappop(heap)
-            positions = sorted(index.pop(rank))
+            positions = index.pop(rank)
+            positions.sort()
+            of_new = merges[rank]
             for k, p in enumerate(positions):
                 q = after[p]
-                if symbol[p] < 0 or q < 0 or merges.get(symbol[p], none).get(symbol[q]) != rank:
+                a = symbol[p]
+                if a < 0 or q < 0 or merges[a].get(symbol[q]) != rank:
                     continue  # a neighbour's merge used one of the two symbols
                 far = after[q]
                 symbol[p], symbol[q], after[p] = rank, -1, far
                 lower = False
                 if far >= 0:
                     before[far] = p
-                    r = merges.get(rank, none).get(symbol[far])
+                    r = of_new.get(symbol[far])
                     if r is not None:
-                        enter(r, p)
+                        if r in index:
+                            index[r].append(p)
+                        else:
+                            index[r] = [p]
+                            push(heap, r)
                         lower = r < rank
-                if (left := before[p]) >= 0:
-                    r = merges.get(symbol[left], none).get(rank)
+                left = before[p]
+                if left >= 0:
+                    r = merges[symbol[left]].get(rank)
                     if r is not None:
-                        enter(r, left)
+                        if r in index:
+                            index[r].append(left)
+                        else:
+                            index[r] = [left]
+                            push(heap, r)
                         lower = lower or r < rank
                 if lower and k + 1 < len(positions):  # the new pair comes first; the others wait
-                    for x in positions[k + 1 :]:
-                        enter(rank, x)
+                    if rank not in index:
+                        push(heap, rank)
+                    index.setdefault(rank, []).extend(positions[k + 1 :])
                     break
-        out = []
-        for base in starts:
-            ids, p = [], base
-            while p >= 0:
-                ids.append(symbol[p])
-                p = after[p]
-            out.append(ids)
-        return out
+        left_over = np.array(symbol, dtype="<i4")
+        alive = left_over >= 0
+        raw = left_over[alive].tobytes()
+        ends = (4 * np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64))).tolist() if len(words) else []
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
     def learn(self, words: set[str]) -> None:
         """Make sure that ``known`` has these words' ids."""
@@ -128,8 +134,7 @@ class MergeReplay:
             else:
                 hard.append(w)
                 raw.append(b)
-        for w, ids in zip(hard, self.replay(raw), strict=True):
-            self.known[w] = np.array(ids, dtype="<i4").tobytes()
+        self.known.update(zip(hard, self.replay(raw), strict=True))
 
     def parts(self, text: str) -> Iterator[list[str]]:
         if len(text) <= 4 * AT_ONCE:
