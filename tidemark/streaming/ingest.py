@@ -35,20 +35,25 @@ def ingest_documents(stream: DataFrame, store: str, today: str, checkpoint: str)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on ``ts``, which has to be a timestamp with a zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, length: str, step: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums per window and type; watermarked where the source is a stream."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = watermarked(events, late)
     return source.groupBy(F.window("ts", length, step or length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = watermarked(events, late)
     return source.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
 
 
 def distinct_ids(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Each id once, remembered no longer than the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return watermarked(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def breaker(events: DataFrame, limit: int) -> DataFrame:
