@@ -202,10 +202,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     windows = scratch.table(marked.mapInArrow(_locate(window), "doc_id long, again array<int>, hashes array<long>, starts array<int>"), "windows")
     sweep(spark)
     sent = windows.select("doc_id", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("starts").alias("start"))).alias("x")).select("doc_id", "x.hash", "x.start")
-    least = sent.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n"))
-    least = scratch.table(least.where("n > 1").select("hash", "least"), "least")
+    # a document lies in one slice and sends a window once, so its id tells the occurrence
+    least = sent.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    least = scratch.table(least.where("least < most").select("hash", "least"), "least")
     sweep(spark)
-    later = sent.join(least, "hash").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("start") != F.col("least.start")))
+    later = sent.join(least, "hash").where("doc_id <> least")
     starts = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).unionByName(windows.where("size(again) > 0").select("doc_id", F.col("again").alias("starts")))
     starts = starts.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     spans = scratch.table(starts.mapInArrow(_spans(window), "doc_id long, spans array<int>"), "spans")

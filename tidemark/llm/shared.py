@@ -21,16 +21,23 @@ from pyspark.sql import functions as F
 # --------------------------------------------------------------------------- scratch tables
 
 
+_temporary: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder's path below ``spark.checkpoint.dir``; below a temporary one only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.sparkContext.getCheckpointDir() or _temporary.get(spark.sparkContext.applicationId)
+    if not base:
+        base = _temporary[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Rows per batch between Spark and Python while a table is written; texts may be long.
+BATCH_ROWS = 2000
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir``: they cut lineage and outlive any executor."""
 
@@ -39,7 +46,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        key, own = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        self.spark.conf.set(key, str(min(int(own), BATCH_ROWS)) if int(own) > 0 else str(BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(key, own)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
