@@ -95,3 +95,17 @@ def page_date(html: Column, last_modified: Column, url: Column) -> Column:
         F.struct(F.lit(None).cast("string").alias("date"), F.when(F.coalesce(last_modified, F.lit("")) != "", "http_last_modified").otherwise("none").alias("source"), F.lit("none").alias("confidence")),
     )
     return choice
+
+
+def wiki_date(markup: Column) -> Column:
+    """The date of an article's date template, else of its date category; "May 3, 2019" or what ``iso_date`` reads."""
+    found = []
+    for pattern in (r"(?i)\{\{\s*date\s*\|\s*([^}|]+?)\s*\}\}", r"(?i)\[\[Category:(\w+ \d{1,2}, \d{4})\]\]"):
+        raw = F.trim(_part(markup, pattern, 1))
+        words = r"(?U)^(\w+)\s+(\d{1,2}),?\s+(\d{4})"
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(raw, words, 1)))
+        named = _date(_part(raw, words, 3), month.cast("string"), _part(raw, words, 2))
+        # a named month decides alone, valid or not
+        found.append((month > 0, named, iso_date(raw)))
+    (a, by_a, iso_a), (b, by_b, iso_b) = found
+    return F.when(a, by_a).when(iso_a.isNotNull(), iso_a).when(b, by_b).otherwise(iso_b)

@@ -45,7 +45,7 @@ def may_be_article(html: Column) -> Column:
 def strip_wikitext(text: Column) -> Column:
     """Wiki markup to text: templates, files and categories go; a link leaves its label."""
     for pattern, to in (
-        (r"(?s)\{\{[^{}]*\}\}", " "),
+        (r"\{\{[^}]*\}\}", " "),
         (r"(?i)\[\[(?:file|image|category):[^\]]*\]\]", " "),
         (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
         (r"\[\[([^\]]*)\]\]", "$1"),
