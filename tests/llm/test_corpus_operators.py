@@ -116,9 +116,12 @@ def test_jaccard_join(clashing, seed):
     assert rows(jaccard.link(clashing(data)), *COLUMNS4) == plain_components(data)
 
 
-def test_jaccard_join_without_leaders(clashing, monkeypatch):
-    """The pairs left after no round at all are all pairs."""
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+@pytest.mark.parametrize("tokens", [400, 2000])
+def test_jaccard_join_in_blocks(clashing, monkeypatch, tokens):
+    """Families of many blocks, and comparisons of many steps."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(jaccard, "LEAST", 50)
+    monkeypatch.setattr(jaccard, "STEP", 500)
     data = corpus(3)
     assert rows(jaccard.link(clashing(data)), *COLUMNS4) == plain_components(data)
 

@@ -11,13 +11,15 @@ first in the orders by rarity; a prefix rarely needs more.  A document whose
 prefix consists of tokens that no other document has can be linked to nothing
 and is done with after that count.
 
-Documents of equal sets are one class, represented by its smallest doc_id.  For
-the component of each class it isn't necessary to verify every pair of a large
-group: documents that share a prefix token are first compared with the group's
-leader, in several rounds with different leaders.  A group whose members are
-all connected needs nothing more; in the others all pairs that aren't yet
-connected are compared.  So every link between unconnected classes is found,
-and components are exact.
+Documents of equal sets are one class, represented by its smallest doc_id.  The
+documents that share a prefix token of the first order form a group, and groups
+with the same leader (the member of least hash) a family.  A family is cut into
+blocks of bounded size, by set size and then by hash; pairs of blocks whose
+sizes allow links are compared as incidence matrices, each in one task of
+bounded memory.  There the filters of all orders are intersected, what is left
+is verified, and only a spanning forest of the links leaves the task.  So no
+pair is ever a row of a table, no two different sets that link are missed, and
+the components of the forests are those of all links.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from tidemark.llm.shared import Scratch, copies_of, gram_hashes, map_texts, mix,
 
 #: Share of the tokens, by hash, whose rarity is counted.
 COUNTED = 0.3
-#: Rounds of comparison with leaders before the remaining pairs are compared.
-ROUNDS = 3
+#: Tokens of the documents of one block, small documents counting as LEAST tokens.
+BLOCK_TOKENS, LEAST = 300_000, 300
+#: Incidences in one step of a comparison.
+STEP = 4_000_000
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -79,22 +83,91 @@ def _sets(n: int):
     return run
 
 
-def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs with 100 * intersection >= 80 * union; sets are sorted as unsigned."""
+def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each token of a set a byte that tells in which orders' prefixes it is."""
     for batch in batches:
-        keep = []
-        a, b = batch.column("set_a"), batch.column("set_b")
-        oa, ob = a.offsets.to_numpy(), b.offsets.to_numpy()
-        fa, fb = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b))
+        out = []
+        columns = [batch.column(c) for c in ("set", "p1", "p2", "p3")]
+        views = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in columns]
         for i in range(batch.num_rows):
-            x, y = fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum()) if len(y) else 0
-            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            tokens, *prefixes = (v[o[i] : o[i + 1]] for o, v in views)
+            marks = np.zeros(len(tokens), dtype=np.uint8)
+            for k, p in enumerate(prefixes):
+                marks[np.searchsorted(tokens, p)] |= 1 << k
+            out.append(marks.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("set"), pa.array(out, pa.binary())], names=["doc_id", "set", "marks"])
+
+
+def _common(owner: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common tokens of each left and each right document, from (document, token) incidences."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    edge = np.flatnonzero(np.diff(token, prepend=-1))
+    often = np.diff(np.append(edge, len(token))) > 1
+    keep = np.repeat(often, np.diff(np.append(edge, len(token))))
+    owner, token = owner[keep], token[keep]
+    if not len(token):
+        return out
+    column = np.cumsum(np.diff(token, prepend=token[0]) != 0)
+    place = [np.full(max(left.max(), right.max()) + 1, -1) for _ in range(2)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    width = max(1, STEP // (len(left) + len(right)))
+    for low in range(0, int(column[-1]) + 1, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        here = []
+        for k, side in enumerate((left, right)):
+            x = np.zeros((len(side), min(width, int(column[-1]) + 1 - low)), dtype=np.float32)
+            row = place[k][owner[a:b]]
+            x[row[row >= 0], column[a:b][row >= 0] - low] = 1
+            here.append(x)
+        out += here[0] @ here[1].T
+    return out
+
+
+def compare(table: pa.Table) -> pa.Table:
+    """A spanning forest (a, b) of the links between two blocks (side 0 and 1), or within one (side 0 alone)."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
+    sets = table["set"].chunk(0)
+    sizes = np.diff(sets.offsets.to_numpy())
+    _, token = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    marks = np.frombuffer(b"".join(table["marks"].to_pylist()), dtype=np.uint8)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if side.any() else 0))
+    if not len(left) or not len(right):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    passed = 5 * np.minimum.outer(sizes[left], sizes[right]) >= 4 * np.maximum.outer(sizes[left], sizes[right])
+    for k in range(3):
+        has = marks & (1 << k) > 0
+        passed &= _common(owner[has], token[has], left, right) > 0
+    linked = np.zeros((n, n), dtype=bool)
+    if passed.any():
+        both = _common(owner, token, left, right)
+        passed &= 100 * both >= 80 * (np.add.outer(sizes[left], sizes[right]) - both)
+        linked[np.ix_(left, right)] = passed
+        linked |= linked.T
+    # the smallest row number that each row can reach
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(n))
+    return pa.table({"a": pa.array(ids[far], pa.int64()), "b": pa.array(ids[label[far]], pa.int64())})
+
+
+class _Coalesced:
+    """Writes scratch tables in at most so many files."""
+
+    def __init__(self, scratch: Scratch, parts: int):
+        self.scratch, self.parts, self.drop = scratch, parts, scratch.drop
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.table(df.coalesce(self.parts), name)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -107,6 +180,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     now = scratch.table(ends, f"{name}_0")
+    # few edges need few tasks; many keep the session's number of partitions
+    parts = max(1, -(-now.count() // 100_000))
+    scratch = _Coalesced(scratch, parts)
     for i in range(1, 200):
         # larger neighbours to the smallest of the neighbourhood
         both = now.select("v", "u").unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -199,47 +275,43 @@ def _link(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     scratch.drop("sketch", "common")
     sweep(spark)
 
-    active = scratch.table(posts.select("doc_id").distinct(), "active")
+    leads = scratch.table(posts.groupBy("t").agg(F.min(F.xxhash64("doc_id")).alias("lead")), "leads")
+    family = posts.join(leads, "t").select("lead", "doc_id", "n").distinct()
+    weight = F.col("n") + LEAST
+    # a link reaches 1.25 times the size, so the next class at most
+    family = scratch.table(family.withColumn("class", F.floor(F.ln("n") / F.ln(F.lit(1.26))).cast("int")), "family")
+    total = family.groupBy("lead").agg(F.count("*").alias("m"), F.sum(weight).alias("weight")).where("m > 1")
+    cells = family.groupBy("lead", "class").agg(F.sum(weight).alias("own")).join(total, "lead")
+    whole = F.col("weight") <= BLOCK_TOKENS
+    cells = scratch.table(cells.select("lead", "class", whole.alias("whole"), F.ceil(F.col("own") / BLOCK_TOKENS).cast("int").alias("blocks")), "cells")
+    # a small family is compared at once; in others each block meets its own class's later blocks and the next class's
+    parted = cells.where("not whole")
+    above = parted.select("lead", (F.col("class") - 1).alias("class"), F.col("blocks").alias("next"))
+    first = parted.select("lead", "class", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    own_pairs = first.select("lead", "class", "i", F.col("class").alias("class2"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    next_pairs = first.join(above, ["lead", "class"]).select("lead", "class", "i", (F.col("class") + 1).alias("class2"), F.explode(F.sequence(F.lit(0), F.col("next") - 1)).alias("j"))
+    pairs = own_pairs.unionByName(next_pairs)
+    one = pairs.select("lead", "class", F.col("i").alias("block"), F.struct("class", "i", "class2", "j").alias("pair"), F.lit(0).alias("side"))
+    two = pairs.where("class <> class2 or i <> j").select("lead", F.col("class2").alias("class"), F.col("j").alias("block"), F.struct("class", "i", "class2", "j").alias("pair"), F.lit(1).alias("side"))
+    meets = scratch.table(one.unionByName(two), "meets")
+    placed = family.join(cells, ["lead", "class"])
+    alone = placed.where("whole").select("lead", "doc_id", F.struct(F.lit(-1).alias("class"), F.lit(0).alias("i"), F.lit(-1).alias("class2"), F.lit(0).alias("j")).alias("pair"), F.lit(0).alias("side"))
+    placed = placed.where("not whole").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    spread = placed.join(meets, ["lead", "class", "block"]).select("lead", "doc_id", "pair", "side")
+    work = scratch.table(alone.unionByName(spread), "work")
+
+    active = scratch.table(work.select("doc_id").distinct(), "active")
     texts = docs.join(small(active), "doc_id", "left_semi")
     sets = scratch.table(map_texts(texts, _sets(n), "set array<long>", "doc_id"), "sets")
-    filters = scratch.table(prefixes.join(active, "doc_id", "left_semi").select("doc_id", "p2", "p3"), "filters")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that pass the other orders' filters and are similar."""
-        fa = filters.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-        fb = filters.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-        passed = pairs.join(fa, "a").join(fb, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-        passed = scratch.table(passed, f"passed_{name}")
-        sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-        out = scratch.table(passed.join(sa, "a").join(sb, "b").mapInArrow(_similar, "a long, b long"), f"links_{name}")
-        sweep(spark)
-        return out
-
-    labels = active.select("doc_id", F.col("doc_id").alias("label"))
-    links: DataFrame | None = None
-    open_posts = posts.join(labels, "doc_id")
-    for r in range(ROUNDS):
-        # a different leader each round: by doc_id, then by hashes
-        rank = F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r))
-        led = open_posts.groupBy("t").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t", "lead")
-        led = scratch.table(led, f"led_{r}")
-        met = open_posts.join(led, "t").where("label <> lead.label and 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)")
-        # one leader per document and round
-        pairs = met.groupBy("doc_id").agg(F.min("lead.doc_id").alias("x")) if r == 0 else met.groupBy("doc_id").agg(F.min_by("lead.doc_id", F.xxhash64("lead.doc_id", F.lit(r))).alias("x"))
-        found = verified(pairs.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct(), f"round_{r}")
-        links = found if links is None else links.unionByName(found)
-        new = components(links, scratch, f"c{r}")
-        labels = scratch.table(active.join(new, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("label")), f"labels_{r}")
-        joined = posts.join(labels, "doc_id")
-        mixed_groups = scratch.table(joined.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t"), f"mixed_{r}")
-        open_posts = scratch.table(joined.join(mixed_groups, "t"), f"open_{r}")
-        if not open_posts.limit(1).count():
-            break
-    else:
-        x, y = (open_posts.select("t", F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"l_{c}")) for c in "ab")
-        rest = x.join(y, "t").where("a < b and l_a <> l_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b").distinct()
-        links = links.unionByName(verified(rest, "rest"))
-        labels = scratch.table(components(links, scratch, "all").select("doc_id", F.col("root").alias("label")), "labels")
+    marked = sets.join(prefixes.select("doc_id", "p1", "p2", "p3"), "doc_id").select("doc_id", "set", "p1", "p2", "p3")
+    marked = scratch.table(marked.mapInArrow(_marked, "doc_id long, set array<long>, marks binary"), "marked")
+    scratch.drop("sets", "prefixes", "posts", "family")
+    sweep(spark)
+    tasks = work.join(marked, "doc_id").select("lead", "pair", "side", "doc_id", "set", "marks")
+    links = scratch.table(tasks.groupBy("lead", "pair").applyInArrow(compare, "a long, b long"), "links")
+    scratch.drop("marked", "work")
+    sweep(spark)
+    labels = components(links, scratch, "all").select("doc_id", F.col("root").alias("label"))
 
     roots = labels.where("doc_id <> label").select("doc_id", F.col("label").alias("root"))
     known = sizes.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first"))
