@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_texts
+from tidemark.llm.shared import hold, map_texts
 
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 600_000
@@ -173,6 +173,7 @@ class MergeReplay:
 @lru_cache(2)
 def replayer(ranks: bytes, pattern: str) -> MergeReplay:
     """One encoder per worker process."""
+    hold(__name__, replayer.cache_clear)
     return MergeReplay(ranks, pattern)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -94,6 +94,20 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(module: str, clear: Callable[[], None]) -> None:
+    """Note that a module keeps words or models in this worker, and how to let them go."""
+    _held[module] = clear
+
+
+def release(but: str) -> None:
+    """Let go what other modules keep: a worker serves one operator after another."""
+    for module in [m for m in _held if m != but]:
+        _held.pop(module)()
+
+
 def map_texts(docs: DataFrame, fn, fields: str, *carry: str) -> DataFrame:
     """One row per document: the columns ``carry`` unchanged, then ``fields`` from ``fn``.
 
@@ -104,6 +118,7 @@ def map_texts(docs: DataFrame, fn, fields: str, *carry: str) -> DataFrame:
     schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry] + [fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(but=fn.__module__)
         for batch in batches:
             for part in cut(batch):
                 made = fn(part.column("text").to_pylist())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Scratch, cut, held_out, labelled_sample, map_texts
+from tidemark.llm.shared import Scratch, cut, held_out, hold, labelled_sample, map_texts
 
 #: Terms that may stand for one another (fixed values; a parameter of ``fit``).
 IDENTITY_TERMS = (
@@ -164,6 +164,7 @@ def fit(texts: list[set[str]], labels: list[int], groups: tuple[tuple[str, ...],
 
 @lru_cache(1)
 def _model(weights: tuple[tuple[str, float], ...], bias: float) -> Model:
+    hold(__name__, _model.cache_clear)
     return Model(dict(weights), bias)
 
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import SPACES, map_texts
+from tidemark.llm.shared import SPACES, hold, map_texts
 
 #: Words whose counts a worker remembers at most.
 REMEMBERED = 300_000
@@ -105,6 +105,7 @@ class LongestMatch:
 @lru_cache(2)
 def automaton(pieces: bytes) -> LongestMatch:
     """One automaton per worker process; ``pieces`` is JSON [[hex of starts], [hex of continuations]]."""
+    hold(__name__, automaton.cache_clear)
     start, inside = json.loads(pieces)
     return LongestMatch([bytes.fromhex(x) for x in start], [bytes.fromhex(x) for x in inside])
 
