@@ -149,6 +149,12 @@ def test_components_of_a_long_chain(spark):
     assert all(got.get(i, i) == 0 for i in range(60)) and got[101] == got[102] == 100
 
 
+def test_components_where_a_vertex_has_two_roots(spark):
+    """After one round 5 points at 1 and 2, neither of which points on."""
+    edges = spark.createDataFrame([(1, 3), (3, 4), (4, 5), (5, 2)], "a long, b long")
+    assert rows(jaccard.components(edges, Scratch(spark), "c"), "doc_id", "root") == [(2, 1), (3, 1), (4, 1), (5, 1)]
+
+
 # ------------------------------------------------------------------ 10
 
 

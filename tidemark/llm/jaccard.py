@@ -198,8 +198,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # done when every vertex has one parent and no parent has one itself
         now = new
         parents = now.select(F.col("u").alias("p")).distinct()
-        open_ = now.join(parents, now["v"] == parents["p"], "left_semi").limit(1).count()
-        if not open_:
+        open_ = now.join(parents, now["v"] == parents["p"], "left_semi").select("v")
+        torn = now.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+        if not open_.unionByName(torn).limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
