@@ -208,6 +208,23 @@ def test_field_adds_repetitions_only():
     assert pii.pii_of("0049 30 1234567 and 0049 30 1234567", field) == []
 
 
+@pytest.mark.parametrize("counts", [{}, {("4", "digits 1"): 2}])
+def test_field_reaches_all_repetitions(counts):
+    """Without counts, and with "other" favoured by 1.1 nats."""
+    text = "Call +49 30 1234567. " + "Then 0049 30 1234567; " * 100
+    spans = pii.pii_of(text, pii.SkipChain(counts))
+    assert [k for k, _, _ in spans] == ["phone"] + ["like_phone"] * 100
+
+
+def test_repetitions_are_not_counted_as_other(spark):
+    docs = spark.createDataFrame([(i, "Call +49 30 1234567. Then 0049 30 1234567, not 555 000 1111 22.") for i in range(30)], "doc_id long, text string")
+    counts = pii.learn_field(docs)
+    assert ("skip", "0") not in counts
+    assert sum(n for (label, f), n in counts.items() if label == "4" and f.startswith("digits")) == 30
+    text = "Call +49 30 1234567. " + "Then 0049 30 1234567; " * 100
+    assert [k for k, _, _ in pii.pii_of(text, pii.SkipChain(counts))] == ["phone"] + ["like_phone"] * 100
+
+
 def test_redaction(docs):
     got = pii.redact_pii(docs)
     assert got.columns == docs.columns

@@ -4,8 +4,9 @@ Four patterns find the base spans.  In a document that has any, every other
 mention that might be the same datum (a number without its prefix, an address's
 local part by itself) becomes a node of a conditional random field next to the
 base spans.  Neighbouring mentions share a chain potential; mentions of equal or
-similar form, however far apart, share a skip potential.  Loopy sum-product
-message passing lets a clamped base span pull its repetitions to its own label.
+similar form, however far apart, share a skip potential, each with the one
+before it and with the base spans of that form.  Loopy sum-product message
+passing lets a clamped base span pull all its repetitions to its own label.
 Potentials are learnt by counting on a bounded sample of documents in which the
 base spans serve as labels.
 """
@@ -146,22 +147,33 @@ class SkipChain:
         # the odds that two mentions of one form agree, at least e**2 : 1
         self.skip = np.eye(n) * max(2.0, math.log(skip[1] / skip[0]))
 
-    def marginals(self, text: str, mentions: list[tuple[int, int, int, list[str]]], rounds: int = 8) -> np.ndarray:
-        """Label probabilities of each mention after loopy message passing."""
+    def marginals(self, text: str, mentions: list[tuple[int, int, int, list[str]]], rounds: int = 1000) -> np.ndarray:
+        """Label probabilities of each mention after loopy message passing until no message changes, or ``rounds``.
+
+        Messages on loops need not settle, hence the last bound.
+        """
         n, size = len(mentions), len(LABELS)
         node = np.zeros((n, size))
         for i, (s, e, label, _) in enumerate(mentions):
             if label >= 0:
-                node[i] = -30.0
+                node[i] = -1e9  # below what any number of repetitions can say against it
                 node[i, label] = 0.0
             else:
                 node[i] = self.prior + sum(self.unary.get(f, self.none) for f in features_of(text, s, e)) / 4
         edges = [(i, i + 1, 0) for i in range(n - 1)]
+        hubs: dict[str, dict[int, int]] = {}
+        for i, (_, _, label, keys) in enumerate(mentions):
+            if label >= 0:
+                for key in keys:
+                    hubs.setdefault(key, {}).setdefault(label, i)
         last: dict[str, int] = {}
-        for i, (_, _, _, keys) in enumerate(mentions):
+        for i, (_, _, label, keys) in enumerate(mentions):
             for key in keys:
-                if key in last:  # each mention meets the last one of its form: as many edges as mentions
-                    edges.append((last[key], i, 1))
+                # each mention meets the last one of its form, and the first base span of each label: edges stay in proportion to mentions
+                met = set(hubs.get(key, {}).values()) if label < 0 else set()
+                if key in last:
+                    met.add(last[key])
+                edges += [(j, i, 1) for j in sorted(met)]
                 last[key] = i
         if not edges:
             return _softmax(node)
@@ -174,7 +186,10 @@ class SkipChain:
             np.add.at(belief, a, back)
             new_forth = _norm(_logsum((belief[a] - back)[:, :, None] + potential, 1))
             new_back = _norm(_logsum((belief[b] - forth)[:, None, :] + potential, 2))
+            moved = max(np.abs(new_forth - forth).max(), np.abs(new_back - back).max())
             forth, back = (forth + new_forth) / 2, (back + new_back) / 2
+            if moved < 1e-6:
+                break
         belief = node.copy()
         np.add.at(belief, b, forth)
         np.add.at(belief, a, back)
@@ -214,7 +229,8 @@ def pii_of(text: str, field: SkipChain | None) -> list[tuple[str, int, int]]:
 def learn_field(docs: DataFrame, sample: int = 4000) -> dict[tuple[str, str], int]:
     """Counts for ``SkipChain`` from ``sample`` documents, taken in the order of a hash of doc_id.
 
-    A mention that no pattern matched counts as "other".  The counts are
+    A mention that no pattern matched counts as "other", unless it repeats a
+    base span's form: what it is, is for the field to say.  The counts are
     summed by Spark; the features are shapes of at most 12 characters and one
     word, so their number is bounded by the sample.
     """
@@ -228,10 +244,13 @@ def learn_field(docs: DataFrame, sample: int = 4000) -> dict[tuple[str, str], in
             if base := base_spans(text):
                 mentions = mentions_of(text, base)
                 last: dict[str, int] = {}
-                labels = [m[2] if m[2] >= 0 else len(BASE_KINDS) for m in mentions]
+                known = {k for _, _, label, keys in mentions if label >= 0 for k in keys}
+                labels = [m[2] if m[2] >= 0 else None if known & set(m[3]) else len(BASE_KINDS) for m in mentions]
                 for i, (s, e, _, keys) in enumerate(mentions):
+                    if labels[i] is None:
+                        continue
                     found.update((str(labels[i]), f) for f in features_of(text, s, e))
-                    if i:
+                    if i and labels[i - 1] is not None:
                         found["chain", f"{labels[i - 1]} {labels[i]}"] += 1
                     for key in keys:
                         if key in last:
