@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text, urls
 from tidemark.operators import assets, audit, graph, labels, ledger, manifest, retrieval, sampling, splits, store, vectors
 from tidemark.operators.guards import GuardError, expect_columns, first_column, safe_member
+from tidemark.plans import catalogue
 
 TODAY = "2026-09-11"
 
@@ -191,6 +192,24 @@ def test_greedy_placement_keeps_components_and_classes(spark):
         splits.assert_feasible(spark.createDataFrame([(1, "a", 95), (2, "a", 5)], "component int, label string, n int"))
 
 
+def test_placed_counts_equal_placement_by_component(spark):
+    counts = [(i, "abc"[i * i % 7 % 3], 1) for i in range(400)] + [(i, k, 1 + i % 4) for i in range(400, 440) for k in "ab"]
+    df = spark.createDataFrame(counts, "component int, label string, n int")
+    placed = df.join(splits.place(df), "component").groupBy("split", "label").agg(F.sum("n").alias("n"))
+    assert rows(splits.placed_counts(df), "split", "label", "n") == rows(placed, "split", "label", "n")
+    assert splits.placed_counts(df.limit(0)).count() == 0
+
+
+def test_greedy_split_sizes_place_each_component(spark, tmp_path):
+    docs = [(i, f"text {i}") for i in range(2990)] + [(i, f"copy {i % 3}") for i in range(2990, 3000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 9 == 0)) for i, _ in docs], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    component = {i: 2990 + (i - 2990) % 3 if i >= 2990 else i for i, _ in docs}
+    counts = spark.createDataFrame([(component[i], int(i % 9 == 0), 1) for i, _ in docs], "component long, label int, n int")
+    placed = counts.join(splits.place(counts), "component").groupBy("split", "label").agg(F.sum("n").alias("n"))
+    assert rows(catalogue.greedy_split_sizes(spark, str(tmp_path)), "split", "label", "n") == rows(placed, "split", "label", "n")
+
+
 def test_leakage_guard(spark):
     clean = [("a.ex", "x", "train"), ("b.ex", "y", "test"), ("hub", "x", "train"), ("hub", "y", "test")]
     make = lambda data: spark.createDataFrame(data, "domain string, label string, split string")

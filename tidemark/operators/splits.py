@@ -35,14 +35,33 @@ def constrained(purity: DataFrame, mode: str = "predictive", threshold: float =
     return purity.where({"predictive": F.col("purity") >= threshold, "strict": F.lit(True), "none": F.lit(False)}[mode])
 
 
+class Greedy:
+    """The sequential rule of placement: each component to the split that it overfills least.
+
+    Ties: more room, then the more held-out split.
+    """
+
+    def __init__(self, totals: dict, ratios: tuple[float, ...] = RATIOS):
+        self.room = {s: q * sum(totals.values()) for s, q in zip(SPLITS, ratios, strict=True)}
+        self.left = {s: {c: q * n for c, n in totals.items()} for s, q in zip(SPLITS, ratios, strict=True)}
+
+    def add(self, classes: dict, pin: str | None = None) -> str:
+        """The split of the next component, given its class counts."""
+        room, left = self.room, self.left
+        split = pin or min(SPLITS, key=lambda s: (sum(max(0.0, n - left[s][k]) for k, n in classes.items()), -room[s], HELD_OUT_FIRST.index(s)))
+        room[split] -= sum(classes.values())
+        for k, n in classes.items():
+            left[split][k] -= n
+        return split
+
+
 def place(components: DataFrame, ratios: tuple[float, ...] = RATIOS, pins: dict | None = None, most: int = 1_000_000) -> DataFrame:
     """(component, split) from (component, label, n): components by size, each to the split that it overfills least.
 
     The rule is sequential over components, so their class counts, not the
-    records, come to the driver; singletons of one class are one row of
-    counts only if their component ids agree, hence the refusal beyond
-    ``most``.  Order: pinned ones, then size, then the smallest component.
-    Ties: more room, then the more held-out split.
+    records, come to the driver, all at once, hence the refusal beyond
+    ``most``; ``placed_counts`` has no such bound.  Order: pinned ones, then
+    size, then the smallest component.
     """
     spark = components.sparkSession
     if components.select("component").distinct().limit(most + 1).count() > most:
@@ -51,21 +70,33 @@ def place(components: DataFrame, ratios: tuple[float, ...] = RATIOS, pins: dict
     for r in components.collect():
         counts.setdefault(r["component"], Counter())[r["label"]] += r["n"]
     pins = pins or {}
-    totals = sum(counts.values(), Counter())
-    room = {s: q * sum(totals.values()) for s, q in zip(SPLITS, ratios, strict=True)}
-    left = {s: {c: q * n for c, n in totals.items()} for s, q in zip(SPLITS, ratios, strict=True)}
-    placed = []
-    for c in sorted(counts, key=lambda c: (c not in pins, -sum(counts[c].values()), c)):
-        classes = counts[c]
-        split = pins.get(c) or min(SPLITS, key=lambda s: (sum(max(0.0, n - left[s][k]) for k, n in classes.items()), -room[s], HELD_OUT_FIRST.index(s)))
-        placed.append((c, split))
-        room[split] -= sum(classes.values())
-        for k, n in classes.items():
-            left[split][k] -= n
+    rule = Greedy(sum(counts.values(), Counter()), ratios)
+    order = sorted(counts, key=lambda c: (c not in pins, -sum(counts[c].values()), c))
+    placed = [(c, rule.add(counts[c], pins.get(c))) for c in order]
     kind = components.schema["component"].dataType.simpleString()
     return spark.createDataFrame(placed, f"component {kind}, split string")
 
 
+def placed_counts(components: DataFrame, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
+    """(split, label, n) of ``place`` without pins, from (component, label, n), for any number of components.
+
+    Spark sorts the components; their class counts pass through the driver
+    one partition at a time, each component is placed by itself, and only the
+    sums by split and label are kept.
+    """
+    spark = components.sparkSession
+    rule = Greedy({r["label"]: r["n"] for r in components.groupBy("label").agg(F.sum("n").alias("n")).collect()}, ratios)
+    one = components.groupBy("component", "label").agg(F.sum("n").alias("n"))
+    one = one.groupBy("component").agg(F.sum("n").alias("size"), F.collect_list(F.struct("label", "n")).alias("classes"))
+    sums: Counter = Counter()
+    for (classes,) in one.orderBy(F.desc("size"), "component").select("classes").toLocalIterator(prefetchPartitions=True):
+        split = rule.add(dict(classes))
+        for label, n in classes:
+            sums[split, label] += n
+    kind = components.schema["label"].dataType.simpleString()
+    return spark.createDataFrame([(s, k, n) for (s, k), n in sums.items()], f"split string, label {kind}, n long")
+
+
 def leakage(records: DataFrame, threshold: float = PURITY) -> DataFrame:
     """Domains of at least the purity that are in two splits, from (domain, label, split)."""
     pure = constrained(domain_purity(records.select("domain", "label")), "predictive", threshold)

@@ -416,14 +416,9 @@ def record_components(spark, sf):
 
 @query()
 def greedy_split_sizes(spark, sf):
-    """Whole components to splits; only component by class counts reach the driver, singletons as blocks of 1/100 of them."""
-    found = _components(spark, sf)
-    size = found.groupBy("component").agg(F.count("*").alias("size"))
-    rows = found.join(size, "component").join(table(spark, sf, "labels").select(F.col("doc_id").alias("node"), F.col("quality").alias("label")), "node")
-    unit = F.when(F.col("size") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(100)))
-    counts = rows.groupBy(unit.alias("component"), "label").agg(F.count("*").alias("n"))
-    placed = splits.place(counts)
-    return counts.join(placed, "component").groupBy("split", "label").agg(F.sum("n").alias("n"))
+    """Whole components to splits, each by itself; their class counts pass through the driver in the order of placement."""
+    rows = _components(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("node"), F.col("quality").alias("label")), "node")
+    return splits.placed_counts(rows.groupBy("component", "label").agg(F.count("*").alias("n")))
 
 
 @query(f"""WITH g AS (SELECT md5(text) AS grp, doc_id, CASE WHEN source = 'src1' THEN 'test' ELSE {_SPLIT.format(k='doc_id')} END AS split, CASE WHEN source = 'src1' THEN 'test' WHEN source = 'src2' THEN 'val' END AS pin, source = 'src0' AS preferred FROM documents),
