@@ -196,6 +196,18 @@ def test_random_spans_need_contrast():
         assert secret_scan.secrets_of(calm + " ordinary words around it") == []
 
 
+@pytest.mark.parametrize("before", ["SIGNING_SALT=", "https://host.example/load?sig=", "a/b_c/", "my-app/x+", "x=y/z_"])
+def test_random_spans_within_a_run(before):
+    key = "q7RzT0vXw2LkP9sYb4NdJ1hGf8MaUcE3"
+    for after in ("", "==", "&x=1"):
+        text = "Deploy with " + before + key + after + " and read the instructions that follow below carefully. " * 5
+        [found] = [text[s:e].rstrip("=") for k, s, e in secret_scan.secrets_of(text) if k == "random"]
+        # after a name the value alone, elsewhere with what base64 or base64url may have written before it
+        assert found == key if before.endswith("=") else found.endswith(key)
+    calm = "see some_long/path-to/ordinary_words-and/more_ordinary-words=internationalisation_of/ordinary-words here"
+    assert secret_scan.secrets_of(calm) == []
+
+
 def test_field_adds_repetitions_only():
     field = pii.SkipChain({})
     text = "Call +49 30 1234567 now. Again: 0049 30 1234567, not 555 000 1111 22. Write jane.doe77@mail.example; jane.doe77 answers."

@@ -33,6 +33,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a run is taken whole, so a shorter one can't hold a match
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+VALUE = re.compile(r"[^=]{20,}")
+#: Ways to part a value that no alphabet holds: base64url, base64, and base62 or narrower are left.
+PARTS = tuple(re.compile(p) for p in (r"[^+/]{20,}", r"[^_-]{20,}", r"[^+/_-]{20,}"))
 
 #: Encodings from the narrowest alphabet to the widest.
 ALPHABETS = tuple(
@@ -98,14 +101,33 @@ def evidence_bits(body: str, alphabet: dict[str, int], background: np.ndarray) -
     return sum(-math.log2(len(alphabet) * share[c]) for c in body)
 
 
+def parts_of(run: str) -> list[tuple[int, int, str, dict[str, int]]]:
+    """(start, end, letters, alphabet) of what one encoding can have written in a run of code letters.
+
+    "=" is padding at the run's end and parts names from values elsewhere.  A
+    value of no encoding is parted at "+" and "/", at "_" and "-", and at all
+    four, so parts may overlap.
+    """
+    body = run.rstrip("=")
+    found = {}
+    for value in VALUE.finditer(body):
+        spans = [value.span()]
+        if not encoding_of(value[0]):
+            spans = [m.span() for p in PARTS for m in p.finditer(body, *value.span())]
+        for s, e in spans:
+            if enc := encoding_of(body[s:e]):
+                found[s, e] = (s, len(run) if e == len(body) else e, body[s:e], enc[1])
+    return list(found.values())
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], alpha: float, fdr: float) -> list[tuple[int, int]]:
     """Spans that look random, apart from those that overlap ``taken``."""
     found = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b in taken) and (enc := encoding_of(m[0])):
-            found.append((s, e, m[0].rstrip("="), enc[1]))
-    found = [f for f in found if len(f[2]) >= 20]
+        for s, e, body, alphabet in parts_of(m[0]):
+            s, e = m.start() + s, m.start() + e
+            if not any(a < e and s < b for a, b in taken):
+                found.append((s, e, body, alphabet))
     if not found:
         return []
     data = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
@@ -114,12 +136,16 @@ def random_spans(text: str, taken: list[tuple[int, int]], alpha: float, fdr: flo
         inside[s] += 1
         inside[e] -= 1
     background = _PRIOR + np.bincount(data[np.cumsum(inside[:-1]) == 0], minlength=128)[:128]
-    scored = sorted((min(1.0, 2.0 ** -min(1000.0, evidence_bits(body, a, background))), s, e, body, a) for s, e, body, a in found)
+    scored = sorted(((min(1.0, 2.0 ** -min(1000.0, evidence_bits(body, a, background))), s, e, body, a) for s, e, body, a in found), key=lambda x: x[:3])
     keep = 0
     for i, (p, *_rest) in enumerate(scored, 1):
         if p <= fdr * i / len(scored):
             keep = i
-    return [(s, e) for _, s, e, body, a in scored[:keep] if 3 * min(battery(body, a)) >= alpha]
+    out: list[tuple[int, int]] = []
+    for _, s, e, body, a in scored[:keep]:  # of overlapping parts the least likely one
+        if not any(x < e and s < y for x, y in out) and 3 * min(battery(body, a)) >= alpha:
+            out.append((s, e))
+    return out
 
 
 def secrets_of(text: str, alpha: float = 1e-3, fdr: float = 1e-3) -> list[tuple[str, int, int]]:
