@@ -237,6 +237,12 @@ def test_repetitions_are_not_counted_as_other(spark):
     assert [k for k, _, _ in pii.pii_of(text, pii.SkipChain(counts))] == ["phone"] + ["like_phone"] * 100
 
 
+def test_field_counts_all_documents(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'Call +49 30 1234567.' AS text")
+    assert pii.learn_field(docs)["3", "before call"] == 6000
+    assert pii.learn_field(docs.limit(0)) == {}
+
+
 def test_redaction(docs):
     got = pii.redact_pii(docs)
     assert got.columns == docs.columns

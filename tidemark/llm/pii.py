@@ -7,8 +7,8 @@ base spans.  Neighbouring mentions share a chain potential; mentions of equal or
 similar form, however far apart, share a skip potential, each with the one
 before it and with the base spans of that form.  Loopy sum-product message
 passing lets a clamped base span pull all its repetitions to its own label.
-Potentials are learnt by counting on a bounded sample of documents in which the
-base spans serve as labels.
+Potentials are learnt by counting on all documents, where the base spans serve
+as labels.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.secret_scan import SPAN_FIELDS
-from tidemark.llm.shared import map_texts, struct_lists
+from tidemark.llm.shared import Scratch, map_texts, struct_lists
 
 #: Kinds of the patterns, in the order in which spans with one start are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -226,16 +226,19 @@ def pii_of(text: str, field: SkipChain | None) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def learn_field(docs: DataFrame, sample: int = 4000) -> dict[tuple[str, str], int]:
-    """Counts for ``SkipChain`` from ``sample`` documents, taken in the order of a hash of doc_id.
+#: Shapes and words are kept if they are at least one in so many of all that was counted.
+RAREST = 100_000
+
+
+def learn_field(docs: DataFrame) -> dict[tuple[str, str], int]:
+    """Counts for ``SkipChain`` from all documents.
 
     A mention that no pattern matched counts as "other", unless it repeats a
     base span's form: what it is, is for the field to say.  The counts are
-    summed by Spark; the features are shapes of at most 12 characters and one
-    word, so their number is bounded by the sample.
+    summed by Spark.  Only shapes and words have no bound of their own, so of
+    these at most ``RAREST`` counts reach the driver, and none is left out
+    before that many things were counted.
     """
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def run(texts: list[str]) -> list[pa.Array]:
         rows = []
@@ -259,21 +262,27 @@ def learn_field(docs: DataFrame, sample: int = 4000) -> dict[tuple[str, str], in
             rows.append([(a, b, c) for (a, b), c in found.items()])
         return [struct_lists(rows, [("label", pa.string()), ("feature", pa.string()), ("n", pa.int64())])]
 
-    counted = map_texts(chosen, run, "seen array<struct<label:string,feature:string,n:long>>").select(F.inline("seen")).groupBy("label", "feature").agg(F.sum("n").alias("n"))
-    return {(r["label"], r["feature"]): r["n"] for r in counted.collect()}
+    scratch = Scratch(docs.sparkSession)
+    seen = map_texts(docs, run, "seen array<struct<label:string,feature:string,n:long>>").select(F.inline("seen"))
+    counted = scratch.table(seen.groupBy("label", "feature").agg(F.sum("n").alias("n")), "field")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    bounded = ~F.col("feature").startswith("shape ") & ~F.col("feature").startswith("before ")
+    found = {(r["label"], r["feature"]): r["n"] for r in counted.where(bounded | (F.col("n") >= total / RAREST)).collect()}
+    scratch.drop("field")
+    return found
 
 
-def find_pii(docs: DataFrame, counts: dict[tuple[str, str], int] | None = None, sample: int = 4000) -> DataFrame:
+def find_pii(docs: DataFrame, counts: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """doc_id, spans array<struct<kind,start,end>>: one row per row of ``docs`` (doc_id, text).
 
     Starts and ends are code points, ends exclusive; kinds ``like_*`` are the
     field's.  ``counts`` are the field's learnt counts; by default they are
-    learnt from at most ``sample`` documents of ``docs``.  Null text counts
+    learnt from all of ``docs``.  Null text counts
     as empty and has no spans.  Repeated rows give repeated results, a null
     doc_id stays null, and other columns are ignored.
     """
     if counts is None:
-        counts = learn_field(docs, sample)
+        counts = learn_field(docs)
     field = SkipChain(counts)
 
     def run(texts: list[str]) -> list[pa.Array]:
@@ -295,13 +304,13 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_pii(docs: DataFrame, counts: dict[tuple[str, str], int] | None = None, sample: int = 4000) -> DataFrame:
+def redact_pii(docs: DataFrame, counts: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by ``[EMAIL]`` and the like; other columns unchanged.
 
     Null text stays null.  Every row is kept.
     """
     if counts is None:
-        counts = learn_field(docs, sample)
+        counts = learn_field(docs)
     field = SkipChain(counts)
     others = [c for c in docs.columns if c != "text"]
     mark = "tidemark_null_text"
