@@ -59,7 +59,9 @@ def test_bpe_equals_tiktoken(docs, none, tiktoken_encoder):
     for i, t in TEXTS:
         ids = tiktoken_encoder.encode_ordinary(t or "")
         expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert rows(bpe.digests(coded), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
+    assert rows(coded.select("doc_id", "ids", "decoded"), "doc_id", "ids", "decoded") == sorted(((i, tiktoken_encoder.encode_ordinary(t or ""), bytearray((t or "").encode())) for i, t in TEXTS), key=repr)
+    hashed = bpe.encoded_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert rows(hashed, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
     assert bpe.encode_decode(none, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
@@ -70,6 +72,27 @@ def test_bpe_on_table(spark, sf, tiktoken_encoder):
         assert got[r["doc_id"]] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest())
 
 
+def test_bpe_table_of_the_corpus(spark, sf, tiktoken_encoder):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(6, "doc_id")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = spark.sparkContext.broadcast(open(path, "rb").read())
+    hashes, words, starts, ids = bpe.word_table(docs, ranks, "x", public_tokenizers.PATTERN)
+    assert len(words) > 300 and (hashes[1:] >= hashes[:-1]).all()
+    for i, w in enumerate(words.to_pylist()):
+        assert ids[starts[i] : starts[i + 1]].tolist() == tiktoken_encoder.encode_ordinary(w)
+    # a table with foreign ids shows that it is what words are looked up in, and a wrong hash that words are compared
+    coder = bpe.MergeReplay(ranks.value, public_tokenizers.PATTERN)
+    word = " zzqzzq"
+    from tidemark.llm.shared import string_hashes
+    import numpy as np
+    import pyarrow as pa
+
+    coder.table = string_hashes(pa.array([word])), pa.array([word]), np.array([0, 1]), np.array([7], dtype="<i4")
+    assert coder.encode([word])[0].tolist() == [7]
+    coder.table = string_hashes(pa.array([word])), pa.array([" other"]), np.array([0, 1]), np.array([7], dtype="<i4")
+    assert coder.encode([word])[0].tolist() == tiktoken_encoder.encode_ordinary(word)
+
+
 def test_replay_takes_lower_ranks_that_a_merge_makes_possible():
     # "bc" comes after "abc" is possible only through "bc": ranks out of building order
     tokens = [bytes([b]) for b in range(256)] + [b"abcd", b"bc", b"abc", b"cd", b"xx", b"xxx"]
@@ -84,7 +107,7 @@ def test_replay_takes_lower_ranks_that_a_merge_makes_possible():
 
 def test_bpe_in_parts(monkeypatch, tiktoken_encoder):
     monkeypatch.setattr(bpe, "AT_ONCE", 7)
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "REPLAYED", 5)
     coder = bpe.MergeReplay(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
     texts = [t or "" for _, t in TEXTS if not t or len(t) < 200]
     assert [x.tolist() for x in coder.encode(texts)] == [tiktoken_encoder.encode_ordinary(t) for t in texts]

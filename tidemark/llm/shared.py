@@ -108,17 +108,19 @@ def release(but: str) -> None:
         _held.pop(module)()
 
 
-def map_texts(docs: DataFrame, fn, fields: str, *carry: str) -> DataFrame:
+def map_texts(docs: DataFrame, fn, fields: str, *carry: str, module: str | None = None) -> DataFrame:
     """One row per document: the columns ``carry`` unchanged, then ``fields`` from ``fn``.
 
     ``fn`` takes a list of texts (null is empty) and returns one Arrow array
     per field.  Batches are cut so that about 2 MB of text are in work at once.
+    ``module`` is the operator whose words and models the worker keeps, by
+    default the one that ``fn`` is of.
     """
     source = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
     schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry] + [fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release(but=fn.__module__)
+        release(but=module or fn.__module__)
         for batch in batches:
             for part in cut(batch):
                 made = fn(part.column("text").to_pylist())
@@ -206,6 +208,20 @@ def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray,
     return mix((total[end] - total[start]) * _power(_BACK, len(data))[start]), start, end
 
 
+def string_hashes(column: pa.Array) -> np.ndarray:
+    """A hash of each string of an Arrow array; equal strings have equal hashes in every process."""
+    offsets, data = buffers(column)
+    if not len(column):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = offsets.astype(np.int64)
+    data = data[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_byte_values()[0][data] * _power(_STEP, len(data)), out=total[1:])
+    back = np.append(_power(_BACK, len(data)), np.uint64(0))
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) * back[offsets[:-1]])
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` words, given the words' hashes."""
     n = len(words) - k + 1
@@ -218,8 +234,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of an Arrow string array, without copies."""
-    if pa.types.is_large_string(column.type):
+    """Offsets and bytes of an Arrow string or large binary array, without copies."""
+    if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:
         column, kind = column.cast(pa.string()), np.int32
