@@ -196,11 +196,40 @@ def test_repeats_edges(clashing, spark):
 def test_automaton_locates_all_phrases():
     r = np.random.default_rng(3)
     words = [r.integers(0, 4, 300).astype(np.uint64) * np.uint64(7919) for _ in range(3)]
-    marks = [np.array([10, 50]), np.array([], dtype=np.int64), np.array([0])]
     grams = [[tuple(w[i : i + 8].tolist()) for i in range(len(w) - 7)] for w in words]
     wanted = {grams[0][10], grams[0][50], grams[2][0]}
-    for hit, g in zip(repeats.located(words, marks), grams, strict=True):
-        assert hit.tolist() == [x in wanted for x in g]
+    spelt = [repeats.letters(w)[p : p + 8] for w, p in ((words[0], 10), (words[0], 50), (words[2], 0))]
+    for w, g in zip(words, grams, strict=True):
+        assert repeats.located(repeats.automaton(spelt), w).tolist() == [x in wanted for x in g]
+    assert repeats.automaton([]) is None and not repeats.located(None, words[0]).any()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_in_many_small_shards(clashing, monkeypatch, seed):
+    monkeypatch.setattr(repeats, "SHARD_PHRASES", 20)
+    monkeypatch.setattr(repeats, "SHARD_LOAD", 15)
+    monkeypatch.setattr(repeats, "SECTION", 10)
+    monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
+    data = corpus(seed)
+    assert rows(repeats.digests(repeats.remove_repeats(clashing(data).repartition(3))), *COLUMNS10) == plain_repeats(data)
+
+
+def test_without_its_automata_op10_finds_nothing(clashing):
+    data = corpus(4)
+    texts = [" ".join((t or "").split()) for _, t in data]
+    assert sum(r[2] for r in plain_repeats(data)) > 0
+    got = repeats.remove_repeats(clashing(data), compiled=lambda phrases: None)
+    # what is left is what needs no automaton: exact copies of whole texts
+    whole = {i for k, (i, _) in enumerate(data) if texts[k] and len(texts[k].split()) >= 20 and (data[k][1] or "") in [t for _, t in data[:k]]}
+    assert {r["doc_id"] for r in got.where("n_removed > 0").collect()} == whole
+
+
+def test_repeats_of_a_very_long_text(clashing):
+    r = random.Random(9)
+    fresh = lambda k: " ".join(f"v{r.randrange(5000)}" for _ in range(k))
+    passage = fresh(60)
+    data = [(1, fresh(120_000) + " " + passage + " " + fresh(50_000)), (2, fresh(10) + " " + passage), (3, passage + " " + passage + " " + fresh(3))]
+    assert rows(repeats.digests(repeats.remove_repeats(clashing(data))), *COLUMNS10) == plain_repeats(data)
 
 
 # ------------------------------------------------------------------ 9

@@ -6,22 +6,28 @@ about seven is ever a phrase.  Passes:
 
 1. Exact copies of a text are set aside: all their windows start earlier.
 2. Phrases are counted over the corpus; those that occur once are done with.
-3. The confirmed phrases of a slice of documents are compiled into an
-   Aho-Corasick automaton, one shard per slice, and the slice's documents are
-   streamed through it as strings of one character per word.  Windows whose
-   phrase was found are the only ones that can recur.
-4. Each slice sends on the first occurrence of each of its windows; the corpus
+   The others are confirmed, and go to a shard by the section of the document
+   in which they occur first, so that a passage's phrases share a shard.
+3. The corpus's confirmed phrases are spelt out from their first documents, one
+   character per word, and each shard is compiled into an Aho-Corasick
+   automaton of a bounded number of phrases.
+4. Every document is streamed through each shard that may apply to it: those
+   that one of its own phrases belongs to.  Nothing but the automata tells where
+   phrases occur; windows whose phrase was found are the only ones that go on.
+5. Each slice sends on the first occurrence of each of its windows; the corpus
    minimum per window tells which occurrences come first.
-5. Words covered by any other occurrence are removed.
+6. Words covered by any other occurrence are removed.
 
-The automaton only narrows the windows down; equality is decided by 64-bit
-hashes of whole windows.  What is shuffled is at most one row per phrase and
-per repeated window and slice; hot windows are reduced before every shuffle.
+The automata only narrow the windows down; equality is decided by 64-bit
+hashes of whole windows.  What is shuffled is at most one row per phrase, the
+texts once per shard that applies, and one row per repeated window and slice;
+hot windows are reduced before every shuffle, and a shard that a large share of
+all documents is streamed through is compiled in several tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -34,6 +40,10 @@ from tidemark.llm.shared import BROADCAST_BYTES, Scratch, buffers, copies_of, cu
 
 #: Words per phrase.
 GRAM = 8
+#: Confirmed phrases of a shard, about; phrases that occur first within so many words of one document share one.
+SHARD_PHRASES, SECTION = 100_000, 4_096
+#: Phrases, confirmed or not, of the documents that one task streams through a shard, about.
+SHARD_LOAD = 200_000
 
 
 def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +81,13 @@ def _sketch(window: int):
     return run
 
 
-def automaton(texts: Iterable[str]):
-    """A compiled shard that finds the given strings."""
+def automaton(phrases: Iterable[str]):
+    """A compiled shard that finds the given strings; None without any."""
     shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for t in texts:
-        shard.add_word(t)
+    for p in phrases:
+        shard.add_word(p)
+    if not len(shard):
+        return None
     shard.make_automaton()
     return shard
 
@@ -85,53 +97,79 @@ def letters(words: np.ndarray) -> str:
     return (words % np.uint64(1_000_000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def located(slice_words: list[np.ndarray], marks: list[np.ndarray]) -> list[np.ndarray]:
-    """For each document, which gram positions hold one of the slice's confirmed phrases."""
-    texts = [letters(w) for w in slice_words]
-    shard_phrases = {t[p : p + GRAM] for t, m in zip(texts, marks, strict=True) for p in m.tolist()}
-    hits = [np.zeros(max(0, len(w) - GRAM + 1), dtype=bool) for w in slice_words]
-    if shard_phrases:
-        shard = automaton(shard_phrases)
-        for t, hit in zip(texts, hits, strict=True):
-            ends = [end for end, _ in shard.iter(t)]
-            hit[np.array(ends, dtype=np.int64) - (GRAM - 1)] = True
-    return hits
+def located(shard, words: np.ndarray) -> np.ndarray:
+    """Which gram positions hold one of the shard's phrases."""
+    hit = np.zeros(max(0, len(words) - GRAM + 1), dtype=bool)
+    if shard is not None:
+        ends = [end for end, _ in shard.iter(letters(words))]
+        hit[np.array(ends, dtype=np.int64) - (GRAM - 1)] = True
+    return hit
 
 
-def _locate(window: int):
-    """Rows (doc_id, again, hashes, starts): starts known to be repeated, and the slice's first occurrences."""
+def _spelt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, phrase): the letters of the phrases that occur first in a document."""
+    for batch in batches:
+        for part in cut(batch):
+            shards, found = [], []
+            for words, own in zip(_words(part.column("text").to_pylist()), part.column("own").to_pylist(), strict=True):
+                text = letters(words)
+                for x in own:
+                    shards.append(x["shard"])
+                    found.append(text[x["place"] : x["place"] + GRAM])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(found, pa.string())], names=["shard", "phrase"])
+
+
+def _stream(window: int, compiled: Callable):
+    """Rows (doc_id, again, hashes, starts): starts known to be repeated, and the slice's first occurrences.
+
+    Takes rows sorted by (shard, part): a shard's phrases, then its documents.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, phrases_here, shard = None, [], None
         for batch in batches:
-            for part in cut(batch):
-                ids = part.column("doc_id").to_numpy()
-                words = list(_words(part.column("text").to_pylist()))
-                marks = [np.array(m or [], dtype=np.int64) for m in part.column("marks").to_pylist()]
-                found, at, owner = [], [], []
-                for i, (w, hit) in enumerate(zip(words, located(words, marks), strict=True)):
-                    if hit.any():
-                        _, place = phrases(w, window)
-                        starts = np.flatnonzero(hit[place])
-                        if len(starts):
-                            found.append(gram_hashes(w, window)[starts])
-                            at.append(starts)
-                            owner.append(np.full(len(starts), i))
-                if not found:
-                    continue
-                h, s, o = np.concatenate(found), np.concatenate(at), np.concatenate(owner)
-                order = np.lexsort((s, ids[o], h))
-                first = np.zeros(len(h), dtype=bool)
-                first[order[np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))]] = True
-                bounds = np.searchsorted(o, np.arange(len(ids) + 1))
-                rows = [np.arange(bounds[i], bounds[i + 1]) for i in range(len(ids))]
-                keep = [i for i, r in enumerate(rows) if len(r)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[keep], type=pa.int64()), _lists([s[rows[i]][~first[rows[i]]] for i in keep], pa.int32()),
-                        _lists([h[rows[i]][first[rows[i]]].view(np.int64) for i in keep], pa.int64()), _lists([s[rows[i]][first[rows[i]]] for i in keep], pa.int32()),
-                    ],
-                    names=["doc_id", "again", "hashes", "starts"],
-                )
+            keys = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            is_phrase = batch.column("phrase").is_valid().to_numpy(zero_copy_only=False)
+            edges = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if keys[low] != group:
+                    group, phrases_here, shard = keys[low], [], None
+                n = int(is_phrase[low:high].sum())
+                phrases_here += batch.column("phrase").slice(low, n).to_pylist()
+                if n < high - low:
+                    if phrases_here:
+                        shard, phrases_here = compiled(phrases_here), []
+                    yield from search(shard, batch.slice(low + n, high - low - n))
+
+    def search(shard, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in cut(batch):
+            ids = part.column("doc_id").to_numpy()
+            found, at, owner = [], [], []
+            for i, w in enumerate(_words(part.column("text").to_pylist())):
+                hit = located(shard, w)
+                if hit.any():
+                    _, place = phrases(w, window)
+                    starts = np.flatnonzero(hit[place])
+                    if len(starts):
+                        found.append(gram_hashes(w, window)[starts])
+                        at.append(starts)
+                        owner.append(np.full(len(starts), i))
+            if not found:
+                continue
+            h, s, o = np.concatenate(found), np.concatenate(at), np.concatenate(owner)
+            order = np.lexsort((s, ids[o], h))
+            first = np.zeros(len(h), dtype=bool)
+            first[order[np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))]] = True
+            bounds = np.searchsorted(o, np.arange(len(ids) + 1))
+            rows = [np.arange(bounds[i], bounds[i + 1]) for i in range(len(ids))]
+            keep = [i for i, r in enumerate(rows) if len(r)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[keep], type=pa.int64()), _lists([s[rows[i]][~first[rows[i]]] for i in keep], pa.int32()),
+                    _lists([h[rows[i]][first[rows[i]]].view(np.int64) for i in keep], pa.int64()), _lists([s[rows[i]][first[rows[i]]] for i in keep], pa.int32()),
+                ],
+                names=["doc_id", "again", "hashes", "starts"],
+            )
 
     return run
 
@@ -170,7 +208,7 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, compiled: Callable = automaton) -> DataFrame:
     """doc_id, n_words long, n_removed long, kept string: one row per row of ``docs`` (doc_id, text).
 
     Words are runs without ASCII white space.  A word goes if it is covered
@@ -179,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     and empty texts have no words.  A null doc_id comes after all others;
     documents of one doc_id but different texts come in the order of a hash
     of the text; rows equal in both are one document and each has its result.
-    Other columns are ignored.
+    Other columns are ignored.  ``compiled`` makes a shard of phrases.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -189,20 +227,35 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     firsts = docs.select("doc_id", text).join(small(copies.select("doc_id")), "doc_id", "left_anti")
 
     sketch = scratch.table(map_texts(firsts, _sketch(window), "phrases array<long>, places array<int>", "doc_id"), "sketch")
-    counted = sketch.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-    confirmed = scratch.table(counted.where("n > 1").select("phrase"), "confirmed")
-    sweep(spark)
     each = sketch.select("doc_id", F.explode(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("places").alias("place"))).alias("x")).select("doc_id", "x.phrase", "x.place")
-    marks = scratch.table(each.join(confirmed, "phrase").groupBy("doc_id").agg(F.collect_list("place").alias("marks")), "marks")
+    # of a phrase several times in its first document any one place will do; once written it stays the same
+    counted = each.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("at"))
+    confirmed = scratch.table(counted.where("n > 1").drop("n"), "confirmed")
+    shards = max(1, -(-confirmed.count() // SHARD_PHRASES))
+    shard = F.pmod(F.xxhash64("first", F.floor(F.col("at") / SECTION)), F.lit(shards)).alias("shard")
+    sweep(spark)
+    met = each.join(confirmed, "phrase").select("doc_id", "place", shard, (F.col("doc_id") == F.col("first")) & (F.col("place") == F.col("at")))
+    met = met.toDF("doc_id", "place", "shard", "own")
+    routes = met.groupBy("doc_id").agg(F.collect_set("shard").alias("shards"), F.collect_list(F.when(F.col("own"), F.struct("place", "shard"))).alias("own"))
+    routes = scratch.table(routes.join(sketch.select("doc_id", F.size("phrases").alias("weight")), "doc_id"), "routes")
     scratch.drop("sketch", "confirmed")
     sweep(spark)
 
-    size = marks.agg(F.sum(F.size("marks") * 4 + 64)).first()[0] or 0
-    marked = firsts.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, "doc_id")
-    windows = scratch.table(marked.mapInArrow(_locate(window), "doc_id long, again array<int>, hashes array<long>, starts array<int>"), "windows")
+    size = routes.agg(F.sum(8 * F.size("shards") + 12 * F.size("own") + 64)).first()[0] or 0
+    routed = firsts.join(F.broadcast(routes) if size <= BROADCAST_BYTES else routes, "doc_id")
+    spelt = scratch.table(routed.where("size(own) > 0").select("text", "own").mapInArrow(_spelt, "shard long, phrase string"), "phrases")
+    # a shard that very many documents may hold phrases of is compiled in several tasks, each for a part of them
+    load = routes.select(F.explode("shards").alias("shard"), "weight").groupBy("shard").agg(F.ceil(F.sum("weight") / SHARD_LOAD).cast("int").alias("parts"))
+    load = scratch.table(load, "load")
+    held = spelt.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("doc_id"), "phrase", F.lit("").alias("text"))
+    sought = routed.select("doc_id", F.explode("shards").alias("shard"), "text").join(small(load), "shard")
+    sought = sought.select("shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", F.lit(None).cast("string").alias("phrase"), "text")
+    work = held.unionByName(sought).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("phrase").isNull())
+    windows = scratch.table(work.mapInArrow(_stream(window, compiled), "doc_id long, again array<int>, hashes array<long>, starts array<int>"), "windows")
+    scratch.drop("phrases", "load")
     sweep(spark)
     sent = windows.select("doc_id", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("starts").alias("start"))).alias("x")).select("doc_id", "x.hash", "x.start")
-    # a document lies in one slice and sends a window once, so its id tells the occurrence
+    # a window's phrase is in one shard and the document in one part of it, so the id tells the occurrence
     least = sent.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     least = scratch.table(least.where("least < most").select("hash", "least"), "least")
     sweep(spark)
@@ -210,7 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     starts = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).unionByName(windows.where("size(again) > 0").select("doc_id", F.col("again").alias("starts")))
     starts = starts.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     spans = scratch.table(starts.mapInArrow(_spans(window), "doc_id long, spans array<int>"), "spans")
-    scratch.drop("windows", "least", "marks")
+    scratch.drop("windows", "least", "routes")
     sweep(spark)
 
     size = spans.agg(F.sum(F.size("spans") * 4 + 64)).first()[0] or 0
