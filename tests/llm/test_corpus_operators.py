@@ -235,20 +235,38 @@ def test_repeats_of_a_very_long_text(clashing):
 # ------------------------------------------------------------------ 9
 
 
-def plain_top(vectors, k, every):
-    best = {}
+def plain_top(vectors, k, every, single=True):
+    """Exact integers, row against row; rows of one vec_id all count."""
+    from fractions import Fraction
+    from math import floor
+
+    good = []
     for i, v in vectors:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            x = [int(np.floor(256 * float(np.float32(c)))) for c in v]
-            best[i] = min(best.get(i, x), x)
+            good.append((i, [floor(256 * Fraction(float(np.float32(c)) if single else c)) for c in v]))
     out = []
-    for q in best:
+    for at, (q, x) in enumerate(good):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(best[q], best[c], strict=False)), c) for c in best if c != q)
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), c) for n, (c, y) in enumerate(good) if n != at)
             out += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
+@pytest.mark.parametrize("block", [2, 70])
+def test_top_k_of_large_components(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    read = lambda v: spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    columns = ("query_id", "rank", "vec_id", "score")
+    # products of 2**41 and 2**9, and a score that is the small difference of huge products
+    vectors = [(0, [2.0**33, 1.0]), (1, [2.0, -3.5]), (2, [0.004, 2.0**35]), (3, [-(2.0**40), 0.0]), (50, [0.0, 2.0**60]), (4, [1e300, -0.5]), (5, [-1e300, 0.001])]
+    small = [v for v in vectors if v[0] in (0, 1, 2, 3)]
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(read(vectors), k=3).collect()  # 2**33 meets 1e300
+    # a huge candidate that isn't among the best, or whose share is nought, is no error
+    assert rows(topk.top_k(read([*small[:3], (7, [-1e300, 0.0])]), k=2), *columns) == plain_top([*small[:3], (7, [-1e300, 0.0])], 2, 50, single=False)
+    assert rows(topk.top_k(read([(50, [0.0, 3.0]), (4, [1e300, -0.5]), (5, [-1e300, 0.001]), (6, [1.7e308, 2.0])]), k=3), *columns) == plain_top([(50, [0.0, 3.0]), (4, [1e300, -0.5]), (5, [-1e300, 0.001]), (6, [1.7e308, 2.0])], 3, 50, single=False)
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 70)
     r = np.random.default_rng(7)

@@ -2,11 +2,11 @@
 
 Components become integers, are shifted to be non-negative, and each bit of
 each attribute is one bitmap over a block's rows.  A query's score is a sum of
-its attributes' slices, shifted by the binary digits of its own integers; a
-negative weight takes the complement of the slices.  Carry-save adders over
-bitmaps reduce all those slices to one bitmap per bit of the score, and the top
-rows are selected from the most significant bitmap downward.  Rows tied at the
-boundary are resolved by vec_id.  Nothing is rounded, so the result is exact.
+its attributes' slices, shifted by the binary digits of its own integers, less
+such a sum for its negative integers.  Carry-save adders over bitmaps reduce all
+those slices to one bitmap per bit of the score, and the top rows are selected
+from the most significant bitmap downward.  Rows tied at the boundary are
+resolved by vec_id.  Nothing is rounded or capped, so the result is exact.
 """
 
 from __future__ import annotations
@@ -25,65 +25,74 @@ from tidemark.llm.shared import Scratch
 BLOCK_ROWS = 16_384
 #: Bytes of queries in one broadcast; further queries are answered in further passes.
 QUERY_BYTES = 32 << 20
-#: Integers beyond this bound are brought to it.
-BOUND = 1 << 40
+#: Integers below this magnitude are handled as machine integers, others as Python's.
+MACHINE = 1 << 62
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, x array<bigint>: floor(scale * component); one row per vec_id.
+def usable(vectors: DataFrame) -> DataFrame:
+    """row, vec_id, x array<double>: one row per vector that takes part, numbered.
 
     Null ids, null or empty vectors, and vectors that hold null or non-finite
-    components take no part.  Of several rows with one vec_id the smallest
-    vector counts.  Integers beyond ``BOUND`` are brought to it.
+    components take no part.  Rows of one vec_id all count.  The numbers stay
+    the same only once the table is written.
     """
     fine = F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    x = F.transform("embedding", lambda v: F.floor(F.greatest(F.lit(-float(BOUND)), F.least(F.lit(float(BOUND)), v.cast("double") * scale))).cast("long"))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
-    return rows.where(fine).select("vec_id", x.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+    return rows.where(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").alias("x"))
+
+
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): int64 where all fit, else Python integers."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(x * scale)
+    if not x.size or np.abs(scaled).max() < MACHINE:
+        return scaled.astype(np.int64)
+    # a double so large that its multiple overflows is an integer itself
+    whole = [int(s) if np.isfinite(s) else int(v) * scale for s, v in zip(scaled.ravel().tolist(), x.ravel().tolist(), strict=True)]
+    out = np.empty(x.size, dtype=object)
+    out[:] = whole
+    return out.reshape(x.shape)
 
 
 class BitSliced:
-    """Bitmaps of a block's rows; ``x`` is int64 [rows, attributes], rows in the order of their ids."""
+    """Bitmaps of a block's rows; ``x`` are the integers [rows, attributes]."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids)
-        self.ids, x = ids[order], x[order]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.numbers, self.ids, x = rows[order], ids[order], x[order]
         self.rows = len(ids)
-        self.low = x.min(axis=0)
-        shifted = (x - self.low).astype(np.uint64)
-        self.bits = [int(v).bit_length() for v in shifted.max(axis=0)]
         self.words = -(-self.rows // 64)
-        self.slices = [self._pack((shifted[:, [j]] >> np.arange(n, dtype=np.uint64) & np.uint64(1)).T.astype(bool)) for j, n in enumerate(self.bits)]
-        self.all = self._pack(np.ones((1, self.rows), dtype=bool))[0]
+        self.low: list[int] = []
+        #: for each attribute (bit, bitmap) of the bits that any row has
+        self.slices: list[list[tuple[int, np.ndarray]]] = []
+        for j in range(x.shape[1]):
+            column = x[:, j]
+            low, high = int(column.min()), int(column.max())
+            self.low.append(low)
+            if high - low < 1 << 63:
+                shifted = (column - low).astype("<u8") if column.dtype == object else column.astype(np.uint64) - np.uint64(low % 2**64)
+                raw = shifted.astype("<u8").view(np.uint8).reshape(self.rows, 8)
+            else:
+                size = ((high - low).bit_length() + 7) // 8
+                raw = np.frombuffer(b"".join((int(v) - low).to_bytes(size, "little") for v in column), dtype=np.uint8).reshape(self.rows, size)
+            raw = raw[:, : ((high - low).bit_length() + 7) // 8]
+            bits = np.unpackbits(raw, axis=1, bitorder="little").T
+            self.slices.append([(b, self._pack(bits[b : b + 1])) for b in np.flatnonzero(bits.any(axis=1)).tolist()])
+        self.all = self._pack(np.ones((1, self.rows), dtype=np.uint8))[0]
 
     def _pack(self, flags: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(flags), self.words * 64), dtype=bool)
+        out = np.zeros((len(flags), self.words * 64), dtype=np.uint8)
         out[:, : self.rows] = flags
         return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
-    def sums(self, weights: list[int]) -> tuple[list[np.ndarray], int]:
-        """Bitmaps of the score's bits, least first, and the constant to add."""
-        columns: list[list[np.ndarray]] = []
-        constant = 0
-        for w, low, n, slices in zip(weights, self.low.tolist(), self.bits, self.slices, strict=True):
-            constant += w * low
-            if not w or not n:
-                continue
-            if w < 0:  # w * v = -w * (top - v) + w * top
-                slices = ~slices
-                constant += w * ((1 << n) - 1)
-            w = abs(w)
-            for k in range(w.bit_length()):
-                if w >> k & 1:
-                    while len(columns) < k + n:
-                        columns.append([])
-                    for b in range(n):
-                        columns[k + b].append(slices[b : b + 1])
+    def _added(self, columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
+        """One bitmap per bit of the sum, least first, of bitmaps by bit."""
         out: list[np.ndarray] = []
         carry: list[np.ndarray] = []
+        last = max(columns, default=-1)
         k = 0
-        while k < len(columns) or carry:
-            parts = carry + (columns[k] if k < len(columns) else [])
+        while k <= last or carry:
+            parts = carry + columns.get(k, [])
             now = np.concatenate(parts) if parts else np.zeros((1, self.words), dtype=np.uint64)
             carry = []
             while len(now) > 1:
@@ -98,14 +107,34 @@ class BitSliced:
                     now = np.concatenate((both ^ c, now[3 * m :]))
             out.append(now[0])
             k += 1
-        return out, constant
+        return out
+
+    def sums(self, weights: list[int]) -> tuple[list[np.ndarray], int]:
+        """Bitmaps of the score's bits, least first, and the constant to add."""
+        more: dict[int, list[np.ndarray]] = {}
+        less: dict[int, list[np.ndarray]] = {}
+        constant = 0
+        for w, low, slices in zip(weights, self.low, self.slices, strict=True):
+            constant += w * low
+            columns, w = (less if w < 0 else more), abs(w)
+            while w:
+                k = (w & -w).bit_length() - 1
+                w &= w - 1
+                for b, bitmap in slices:
+                    columns.setdefault(k + b, []).append(bitmap)
+        if not less:
+            return self._added(more), constant
+        # a - b = a + (top - b) - top, where top - b is the complement of b
+        taken = self._added(less)
+        for k, bitmap in enumerate(taken):
+            more.setdefault(k, []).append(~bitmap[None])
+        return self._added(more), constant - ((1 << len(taken)) - 1)
 
     def top(self, weights: list[int], k: int, own: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best rows but ``own``'s, ties to smaller ids, in no order."""
+        """(id, score) of the k best rows but the one numbered ``own``, ties to smaller ids, in no order."""
         sums, constant = self.sums(weights)
         rest = self.all.copy()
-        at = int(np.searchsorted(self.ids, own))
-        if at < self.rows and self.ids[at] == own:
+        for at in np.flatnonzero(self.numbers == own).tolist():
             rest[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
         sure = np.zeros_like(rest)
         n_sure = 0
@@ -127,7 +156,7 @@ class BitSliced:
         for r in rows.tolist():
             w, b = r >> 6, np.uint64(r & 63)
             score = sum(int(level[w] >> b & np.uint64(1)) << j for j, level in enumerate(sums)) + constant
-            out.append((int(self.ids[r]), max(-(1 << 63), min((1 << 63) - 1, score))))
+            out.append((int(self.ids[r]), score))
         return out
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
@@ -136,7 +165,7 @@ class BitSliced:
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Lists as rows; a shorter one is filled with zeros."""
-    out = np.zeros((len(column), width), dtype=np.int64)
+    out = np.zeros((len(column), width))
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(column)), lengths)
@@ -145,49 +174,60 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _lists(table: pa.Table) -> pa.Array:
+    column = table["x"].combine_chunks() if table.num_rows else pa.array([], type=pa.list_(pa.float64()))
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
-    """query_id long, rank int, vec_id long, score long; see ``quantised`` for what takes part.
+    """query_id long, rank int, vec_id long, score long; see ``usable`` for what takes part.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates
-    are all rows but the query's own.  Vectors of different lengths are
-    compared as if the shorter one ended in zeros.  Ties go to the smaller
-    vec_id; a query with fewer candidates than ``k`` has fewer rows.  Scores
-    beyond a long are brought to its ends.  An empty table gives no rows.
+    are all rows but the query's own, so that rows of one vec_id meet each
+    other.  Vectors of different lengths are compared as if the shorter one
+    ended in zeros.  Ties go to the smaller vec_id; a query with fewer
+    candidates than ``k`` has fewer rows.  A score among a query's ``k`` best
+    that no long can hold is an error when the rows are read.  An empty table
+    gives no rows.
+
+    The driver holds one pass's queries, at most ``QUERY_BYTES`` of them.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = scratch.table(quantised(vectors, scale), "rows")
+    rows = scratch.table(usable(vectors), "rows")
     width, n_queries = rows.agg(F.max(F.size("x")), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     width = width or 1
-    per_pass = max(1, QUERY_BYTES // (8 * width + 8))
+    per_pass = max(1, QUERY_BYTES // (8 * width + 16))
     passes = max(1, -(-n_queries // per_pass))
     queries = rows.where(F.col("vec_id") % every == 0)
     out = None
     for i in range(passes):
-        mine = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i)
+        mine = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == i)
         # hashing spreads the queries evenly, so a pass collects about per_pass rows
         held = mine.toArrow()
-        found = held["x"].combine_chunks() if held.num_rows else pa.array([], type=pa.list_(pa.int64()))
-        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-        packed = vectors.sparkSession.sparkContext.broadcast((held["vec_id"].to_numpy(), _matrix(found, width)))
-        best = rows.mapInArrow(_searcher(packed, width, k), "query_id long, vec_id long, score long")
+        packed = vectors.sparkSession.sparkContext.broadcast((held["row"].to_numpy(), held["vec_id"].to_numpy(), _matrix(_lists(held), width)))
+        best = rows.mapInArrow(_searcher(packed, width, k, scale), "row long, query_id long, vec_id long, over int, score long")
         out = best if out is None else out.unionByName(best)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best doesn't fit a long")).cast("long"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
-def _searcher(packed, width: int, k: int):
+def _searcher(packed, width: int, k: int, scale: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights = packed.value
+        numbers, ids, vectors = packed.value
+        weights = [[int(w) for w in row] for row in integers(vectors, scale)]
         waiting: list[pa.RecordBatch] = []
 
         def search() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
-            lists = table["x"].chunk(0) if table["x"].num_chunks else pa.array([], type=pa.list_(pa.int64()))
-            index = BitSliced(table["vec_id"].to_numpy(), _matrix(lists, width))
-            found = [(int(q), v, s) for q, w in zip(ids, weights, strict=True) for v, s in index.top(w.tolist(), k, int(q))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], type=pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+            index = BitSliced(table["row"].to_numpy(), table["vec_id"].to_numpy(), integers(_matrix(_lists(table), width), scale))
+            found = [(n, q, v, s) for n, q, w in zip(numbers.tolist(), ids.tolist(), weights, strict=True) for v, s in index.top(w, k, n)]
+            over = [(s >= 1 << 63) - (s < -(1 << 63)) for *_, s in found]
+            made = [pa.array([f[i] for f in found], type=pa.int64()) for i in range(3)]
+            made += [pa.array(over, type=pa.int32()), pa.array([0 if o else f[3] for f, o in zip(found, over, strict=True)], type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "query_id", "vec_id", "over", "score"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
