@@ -380,8 +380,8 @@ def test_pipeline_stages(spark, sf):
     sizes = {len(g) for g in grams}
     clean = {i: t for i, t in kept.items() if not any(tuple(w[p : p + n]) in grams for w in [words(t)] for n in sizes for p in range(len(w) - n + 1))}
     assert {r["doc_id"] for r in tables[2].collect()} == set(clean) and len(clean) < len(kept)
-    field = pii.SkipChain(pii.learn_field(tables[2]))
-    redacted = {i: pii.redacted(t, pii.pii_of(t, field)) for i, t in clean.items()}
+    field = pii.learn_field(tables[2])
+    redacted = {i: pii.redacted(t, spans) for (i, t), spans in zip(clean.items(), pii.pii_of(list(clean.values()), field), strict=True)}
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in tables[3].collect()} == {(i, t, len(t)) for i, t in redacted.items()}
     assert {(r["doc_id"], r["decoded_sha256"]) for r in tables[4].collect()} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in redacted.items()}
     assert rows(corpus_pipeline.run(spark, sf), *tables[4].columns) == rows(tables[4], *tables[4].columns)

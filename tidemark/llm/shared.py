@@ -94,6 +94,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores as it takes to be none of the taken ones, whatever their case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 
