@@ -43,7 +43,9 @@ GRAM = 8
 #: Confirmed phrases of a shard, about; phrases that occur first within so many words of one document share one.
 SHARD_PHRASES, SECTION = 100_000, 4_096
 #: Phrases, confirmed or not, of the documents that one task streams through a shard, about.
-SHARD_LOAD = 200_000
+SHARD_LOAD = 1_000_000
+#: Different characters that words are spelt with in an automaton.
+LETTERS = 256
 
 
 def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,13 @@ def automaton(phrases: Iterable[str]):
 
 
 def letters(words: np.ndarray) -> str:
-    """One character per word, by hash."""
-    return (words % np.uint64(1_000_000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+    """One character per word, by hash.
+
+    The alphabet is small because an automaton looks a node's branches through
+    one by one.  A false hit, two phrases of the same eight characters, lets a
+    window go on that is then found not to repeat.
+    """
+    return (words % np.uint64(LETTERS) + np.uint64(0x100)).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def located(shard, words: np.ndarray) -> np.ndarray:
