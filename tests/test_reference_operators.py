@@ -108,15 +108,16 @@ def test_hosts(spark):
 
 
 def test_globs():
-    for a, b in (("data/*", "data/test/*"), ("store/", "store/test/*"), ("a/b.json", "a/*.json"), ("x", "./x")):
+    for a, b in (("data/*", "data/test/*"), ("store/", "store/test/*"), ("a/b.json", "a/*.json"), ("x", "./x"), ("a/*.csv", "a/b*"), ("a/[xy]z", "a/?z/c"), ("*", "a")):
         assert urls.globs_overlap(a, b) and urls.globs_overlap(b, a)
-    for a, b in (("data/train/*", "data/test/*"), ("*.csv", "*.tsv")):
+    for a, b in (("data/train/*", "data/test/*"), ("*.csv", "*.tsv"), ("a/b", "a/bc"), ("a/?", "a/bc")):
         assert not urls.globs_overlap(a, b)
 
 
 @pytest.mark.parametrize(("glob", "path", "hit"), [("a/*.json", "a/b/c.json", True), ("a/?.json", "a/bb.json", False), ("a/[!x]*", "a/y1", True), ("a/[!x]*", "a/x1", False), ("a.b", "axb", False), ("[ab].c", "b.c", True)])
 def test_glob_regex(spark, glob, path, hit):
     assert spark.createDataFrame([(path,)], "p string").select(urls.matches_any(F.col("p"), [glob])).first()[0] is hit
+    assert spark.range(1).select(urls.matches_any(F.lit(path), [])).first()[0] is True
 
 
 def test_article_text():

@@ -84,7 +84,8 @@ def portable_name(part: Column) -> Column:
 
 def kept_member(name: Column, size: Column, keep: list[str], small: int) -> Column:
     """Whether a streamed archive's member is stored: listed, or small and outside media folders."""
-    return matches_any(name, keep) | ((size <= small) & ~F.arrays_overlap(F.split(name, "/"), F.array(*map(F.lit, MEDIA_FOLDERS))))
+    listed = matches_any(name, keep) if keep else F.lit(False)
+    return listed | ((size <= small) & ~F.arrays_overlap(F.split(name, "/"), F.array(*map(F.lit, MEDIA_FOLDERS))))
 
 
 def scope_fingerprint(entry: dict) -> str:
