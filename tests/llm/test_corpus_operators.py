@@ -350,6 +350,9 @@ def test_drop_toxic_keeps_columns_and_nulls(spark, clashing):
     kept = toxicity.drop_toxic(clashing(data), labels)
     assert kept.columns == clashing(data).columns
     assert rows(kept, "doc_id", "text") == sorted(((i, t) for i, t in data if "vile" not in (t or "")), key=repr)
+    named = clashing(data).withColumn("Tidemark_toxic_score", F.lit(1)).withColumn("tidemark_null_text", F.lit("x"))
+    again = toxicity.drop_toxic(named, labels)
+    assert again.columns == named.columns and rows(again, "doc_id", "text") == rows(kept, "doc_id", "text")
 
 
 # ------------------------------------------------------------------ pipeline

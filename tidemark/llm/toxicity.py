@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Scratch, cut, held_out, hold, labelled_sample, map_texts
+from tidemark.llm.shared import Scratch, cut, free_name, held_out, hold, labelled_sample, map_texts
 
 #: Terms that may stand for one another (fixed values; a parameter of ``fit``).
 IDENTITY_TERMS = (
@@ -227,26 +227,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(docs, run, "score double", "doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; see ``learn`` and ``score``.
 
     A null doc_id isn't held out.  Without labelled rows every score is 0.5.
     """
-    scored = score(docs, learn(docs, labels, sample))
+    scored = score(docs, learn(docs, labels, sample, groups))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; columns and other rows unchanged."""
-    model = learn(docs, labels, sample)
+    model = learn(docs, labels, sample, groups)
     packed = docs.sparkSession.sparkContext.broadcast((tuple(sorted(model.weights.items())), model.bias))
-    mark = "tidemark_toxic_score"
+    mark = free_name("tidemark_toxic_score", docs.columns)
 
     def run(texts: list[str]) -> list[pa.Array]:
         m = _model(*packed.value)
         return [pa.array(texts, type=pa.string()), pa.array([m.score(t) for t in texts], type=pa.float64())]
 
-    null = "tidemark_null_text"
+    null = free_name("tidemark_null_text", docs.columns)
     others = [c for c in docs.columns if c != "text"]
     out = map_texts(docs.withColumn(null, F.isnull("text")), run, f"text string, {mark} double", *others, null)
     return out.where(F.col(mark) < threshold).withColumn("text", F.when(~F.col(null), F.col("text"))).select(*docs.columns)
