@@ -266,7 +266,7 @@ def test_auc_with_ties(spark):
     data = [(0.1, False), (0.4, True), (0.4, False), (0.4, False), (0.9, True), (0.2, True)]
     pos, neg = [s for s, p in data if p], [s for s, p in data if not p]
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / 9
-    graph._ready(spark)
+    graph.ready(spark)
     df = spark.createDataFrame(data, "score double, positive boolean")
     assert audit.auc(df).first()["auc"] == pytest.approx(want)
     low, high = vectors.bootstrap_auc(df, rounds=200)

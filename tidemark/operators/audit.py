@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import graph
 
 FOLDS, SEED = 5, 20260901
 
@@ -101,32 +102,45 @@ def class_scores(predicted: DataFrame) -> DataFrame:
 def naive_bayes_held_out(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     """id, label, pred of (id, label, text): multinomial, Laplace 1, tokens unseen in training skipped, ties to the smaller label.
 
-    Counts of a fold's training part are totals minus the fold's own, so all
-    folds are scored in one plan.
+    Counts of a fold's training part are what the other folds hold, so all
+    folds are scored in one plan over one table of tokens.  A token adds
+    k * ln(c + 1) to the classes that know it and k to what the document's
+    known tokens are, which takes k * ln(denominator) from every class.  Rows
+    without a label are left out; a text that is null or empty has no tokens
+    and gets the likeliest class.
     """
-    data = rows.withColumn("fold", fold_of(F.col("id"), folds))
-    tokens = data.select("id", "label", "fold", F.explode(T.grams(F.col("text"))).alias("w")).groupBy("id", "label", "fold", "w").agg(F.count("*").alias("k"))
-    by_fold = tokens.groupBy("w", "label", "fold").agg(F.sum("k").alias("c"))
-    total = by_fold.groupBy("w", "label").agg(F.sum("c").alias("c"))
-    labels = data.groupBy("label", "fold").agg(F.count("*").alias("n"))
-    label_total = labels.groupBy("label").agg(F.sum("n").alias("n"))
-    out = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("out")
-    grid = label_total.select("label", "n", out).join(labels.select("label", F.col("fold").alias("out"), F.col("n").alias("own")), ["label", "out"], "left")
-    train = grid.select("label", "out", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
-    counted = total.select("w", "label", "c", out).join(by_fold.select("w", "label", F.col("fold").alias("out"), F.col("c").alias("own")), ["w", "label", "out"], "left")
-    counted = counted.select("w", "label", "out", (F.col("c") - F.coalesce("own", F.lit(0))).alias("c")).where("c > 0")
-    mass = counted.groupBy("label", "out").agg(F.sum("c").alias("mass"))
-    vocabulary = counted.groupBy("out").agg(F.count_distinct("w").alias("v"))
-    docs = train.groupBy("out").agg(F.sum("n").alias("all"))
-    # a handful of rows per label and fold
-    prior = train.join(docs, "out").join(mass, ["label", "out"], "left").join(vocabulary, "out").select("label", "out", F.ln(F.col("n") / F.col("all")).alias("prior"), (F.coalesce("mass", F.lit(0)) + F.col("v")).alias("den"))
-    known = counted.groupBy("w", "out").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("by_label"))
-    seen = tokens.withColumnRenamed("fold", "out").join(known, ["w", "out"]).join(F.broadcast(prior.withColumnRenamed("label", "cls")), "out")
-    part = F.col("k") * F.ln((F.coalesce(F.try_element_at("by_label", F.col("cls")), F.lit(0)) + 1) / F.col("den"))
-    sums = seen.groupBy("id", "cls").agg(F.sum(part).alias("s"))
-    everyone = data.select("id", "label", F.col("fold").alias("out")).join(F.broadcast(prior.withColumnRenamed("label", "cls")), "out").join(sums, ["id", "cls"], "left")
-    score = F.round(F.col("prior") + F.coalesce("s", F.lit(0.0)), 9)
-    return everyone.groupBy("id", "label").agg(F.min_by("cls", F.struct(-score, F.col("cls"))).alias("pred"))
+    data = rows.where("label is not null").select("id", "label", "text", fold_of(F.col("id"), folds).alias("fold"))
+    # texts are shuffled, not their tokens; the scan's partition splits an id that many rows share
+    texts = data.withColumn("part", F.spark_partition_id()).repartition("id", "part")
+    tokens = texts.select("id", "part", "label", "fold", F.explode(T.grams(F.col("text"))).alias("w")).where("w is not null").groupBy("id", "part", "label", "fold", "w").agg(F.count("*").alias("k"))
+    graph.ready(rows.sparkSession)
+    tokens = tokens.drop("part").checkpoint()
+
+    def without(column: str) -> Column:
+        return F.array(*[F.sum(F.when(F.col("fold") != f, F.col(column)).otherwise(0)) for f in range(folds)])
+
+    # per token a row for each class and one, of no class, for all of them
+    known = tokens.groupingSets([["w", "label"], ["w"]], "w", "label").agg(without("k").alias("rest")).withColumnRenamed("label", "cls").checkpoint()
+    c = F.element_at("rest", (F.col("fold") + 1).cast("int"))
+    gain = F.when(F.col("cls").isNull(), F.col("k")).otherwise(F.col("k") * F.ln(c + 1))
+    sums = tokens.select("id", "fold", "w", "k").join(known, "w").where(c > 0).groupBy("id", "cls").agg(F.sum(gain).alias("s"))
+    # as many entries as there are classes
+    per_id = sums.groupBy("id").agg(F.sum(F.when(F.col("cls").isNull(), F.col("s"))).alias("seen"), F.map_from_entries(F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("cls", "s")))).alias("gains"))
+
+    # a handful of rows per label and fold from here on
+    def by_out(array: Column) -> Column:
+        return F.posexplode(array).alias("out", "x")
+
+    totals = known.groupBy("cls").agg(F.array(*[F.sum(F.col("rest")[f]) for f in range(folds)]).alias("mass"), F.array(*[F.count_if(F.col("rest")[f] > 0) for f in range(folds)]).alias("words"))
+    mass = totals.where("cls is not null").select("cls", by_out(F.col("mass"))).withColumnRenamed("x", "mass")
+    vocabulary = totals.where("cls is null").select(by_out(F.col("words"))).withColumnRenamed("x", "v")
+    train = data.groupBy("label", "fold").agg(F.count("*").alias("n")).groupBy(F.col("label").alias("cls")).agg(without("n").alias("n")).select("cls", by_out(F.col("n"))).where("x > 0")
+    documents = train.groupBy("out").agg(F.sum("x").alias("documents"))
+    prior = train.join(documents, "out").join(mass, ["cls", "out"], "left").join(vocabulary, "out", "left")
+    prior = prior.select("cls", "out", F.ln(F.col("x") / F.col("documents")).alias("prior"), F.ln(F.coalesce("mass", F.lit(0)) + F.col("v")).alias("ln_den"))
+    everyone = data.select("id", "label", F.col("fold").alias("out")).join(per_id, "id", "left").join(F.broadcast(prior), "out")
+    score = F.col("prior") + F.when(F.col("seen") > 0, F.coalesce(F.try_element_at("gains", F.col("cls")), F.lit(0.0)) - F.col("seen") * F.col("ln_den")).otherwise(0.0)
+    return everyone.groupBy("id", "label").agg(F.min_by("cls", F.struct(-F.round(score, 6), F.col("cls"))).alias("pred"))
 
 
 def complete_cases(items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _ready(spark: SparkSession) -> None:
+def ready(spark: SparkSession) -> None:
     """A checkpoint folder: the cluster's, or a temporary one where it names none."""
     if spark.sparkContext.getCheckpointDir() is None:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +22,7 @@ def components(members: DataFrame, rounds: int = 200) -> DataFrame:
     its keys, and then the label's own label, which halves long chains.  A
     large key is reduced before its shuffle and never gathered in one row.
     """
-    _ready(members.sparkSession)
+    ready(members.sparkSession)
     members = members.where("node is not null and key is not null").select("node", "key").distinct().checkpoint()
     labels = members.select("node").distinct().withColumn("label", F.col("node")).checkpoint()
     for _ in range(rounds):
