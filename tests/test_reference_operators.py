@@ -417,5 +417,6 @@ def test_vectors(spark):
     best = vectors.best_matches(df.where("id = 0"), df, 2)
     assert rows(best, "id", "rank") == [(1, 1), (2, 2)]
     assert rows(vectors.vote(best, df.select("id", "label"))) == [(0, "a")]
-    with pytest.raises(GuardError):
-        vectors.best_matches(df, df, most=2)
+    whole, parts = (rows(vectors.best_matches(df, df, 2, block_bytes=size), "query", "id", "cosine", "rank") for size in (32 << 20, 200))
+    assert whole and parts == whole
+    assert vectors.best_matches(df.limit(0), df, 2).count() == 0

@@ -19,17 +19,22 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-def best_matches(queries: DataFrame, pool: DataFrame, k: int = 1, floor: float = -2.0, most: int = 100_000) -> DataFrame:
+def best_matches(queries: DataFrame, pool: DataFrame, k: int = 1, floor: float = -2.0, block_bytes: int = 32 << 20) -> DataFrame:
     """query, id, cosine, rank: the k best of (id, v) for each query (id, v), by nine-place cosines, ties to smaller ids.
 
-    The stated query set is broadcast after a check of its size; the pool is
-    scanned once and each task keeps k rows per query.
+    Query ids are distinct.  The stated query set is broadcast in blocks of
+    about ``block_bytes``, dealt by hash; the pool is scanned once a block, and
+    each task keeps k rows per query.
     """
-    if queries.limit(most + 1).count() > most:
-        raise GuardError(f"more than {most} queries")
+    seen = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    blocks = max(1, -(-seen["n"] * (8 * max(seen["width"] or 0, 0) + 64) // block_bytes))
     q = queries.select(F.col("id").alias("query"), unit(F.col("v")).alias("qv"))
     p = pool.select("id", unit(F.col("v")).alias("v"))
-    scored = p.join(F.broadcast(q), p["id"] != q["query"]).select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 9).alias("cosine")).where(F.col("cosine") >= floor)
+    scored = None
+    for i in range(blocks):
+        part = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
+        pairs = p.join(part, p["id"] != part["query"]).select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 9).alias("cosine")).where(F.col("cosine") >= floor)
+        scored = pairs if scored is None else scored.unionByName(pairs)
     order = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

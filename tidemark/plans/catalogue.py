@@ -600,7 +600,7 @@ def style_mismatch_rate(spark, sf):
 # --------------------------------------------------------------------------- vectors
 
 _UNIT = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)"
-_COS = f"{_UNIT}, s AS (SELECT q.vec_id AS query, p.vec_id AS id, round(list_dot_product(q.e, p.e), 9) AS cosine FROM u q JOIN u p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM s)"
+_COS = f"{_UNIT}, s AS (SELECT q.vec_id AS query, p.vec_id AS id, round(list_dot_product(q.e, p.e), 9) AS cosine FROM u q JOIN u p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM s)"
 
 
 def _vectors(spark, sf):
@@ -609,7 +609,7 @@ def _vectors(spark, sf):
 
 def _nearest(spark, sf, k):
     rows = _vectors(spark, sf)
-    return vectors.best_matches(rows.where("id % 50 = 0"), rows, k)
+    return vectors.best_matches(rows.where("id % 20 = 0"), rows, k)
 
 
 @query(f"WITH {_COS} SELECT query, id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
