@@ -395,16 +395,17 @@ def plain_contamination(documents, items):
     windows = {}
     for item, text in items:
         w = plain_words(text)
-        if item is not None and w:
+        if w:
             n = min(10, len(w))
             for i in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+                windows.setdefault(tuple(w[i : i + n]), set()).update(() if item is None else (item,))
     out = []
     for i, text in documents:
         w, hit, found = plain_words(text), set(), set()
         for n in {len(k) for k in windows}:
             for p in range(len(w) - n + 1):
-                if items_here := windows.get(tuple(w[p : p + n])):
+                items_here = windows.get(tuple(w[p : p + n]))
+                if items_here is not None:
                     hit.update(range(p, p + n))
                     found |= items_here
         names = ",".join(sorted(map(str, found)))
@@ -444,3 +445,13 @@ def test_contamination_is_native(docs, spark, capsys):
     decontaminate.contamination(docs, items).explain()
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_items_without_id_are_hits(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (7, "d e"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.digests(decontaminate.contamination(docs, items)).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (4, 1, True)
+    assert (got[2]["n_hit"], got[2]["n_items"], got[2]["contaminated"]) == (0, 0, False)
+    unnamed = items.where("item_id is null")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, unnamed).collect()] == [2]

@@ -30,8 +30,8 @@ def words(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame) -> DataFrame:
-    """length, hash, window array<string>, items array<bigint>: the distinct windows of the items."""
-    items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """length, hash, window array<string>, items array<bigint>: the distinct windows of the items; an item without id has windows, but is in no ``items``."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.lit(WINDOW), F.size("w"))
     at = items.select("item_id", "w", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("w") - length + 1)).alias("p"))
     cut = at.select("item_id", "length", F.slice("w", F.col("p"), F.col("length")).alias("window"))
@@ -79,8 +79,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ends exclusive, one per occurrence of a window, in order.  Null and empty
     texts have no words and no hits.  Rows with the same doc_id count by
     themselves unless their texts agree too, and then each still has its own,
-    equal, row; a null doc_id stays null.  Items without id or words take no
-    part; an item listed twice counts once.  Other columns are ignored.
+    equal, row; a null doc_id stays null.  Items without words take no
+    part; the windows of an item without id are hits, but only ids are in
+    ``items``; an item listed twice counts once.  Other columns are ignored.
     """
     hit = F.col("items").isNotNull()
     found = _hits(docs, benchmark, True).groupBy("doc_id", "text_hash", "n_words").agg(
@@ -141,7 +142,7 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + l)) AS q FROM hits) GROUP BY doc_id
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
