@@ -1,7 +1,11 @@
 """The rules of the evidence store, splits, labels and ledgers on small literal inputs."""
 
+import math
+import random
 import sqlite3
+from functools import reduce
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,3 +424,55 @@ def test_vectors(spark):
     whole, parts = (rows(vectors.best_matches(df, df, 2, block_bytes=size), "query", "id", "cosine", "rank") for size in (32 << 20, 200))
     assert whole and parts == whole
     assert vectors.best_matches(df.limit(0), df, 2).count() == 0
+
+
+def _brute(queries, pool, k):
+    """(query, id, cosine, rank) by loops over lists, in the order of ``dot``."""
+
+    def units(v):
+        n = reduce(lambda t, x: t + x * x, v, 0.0) ** 0.5
+        return [x / n if n else x for x in v]
+
+    out = []
+    for q, v in queries:
+        found = []
+        for i, w in pool:
+            if q is not None and i is not None and q != i and v is not None and w is not None and len(v) == len(w) and None not in (*v, *w):
+                s = reduce(lambda t, z: t + z[0] * z[1], zip(units(v), units(w), strict=True), 0.0)
+                found.append((math.inf if math.isnan(s) else round(s, 9) + 0.0, i))
+        found.sort(key=lambda x: (-x[0], x[1]))
+        out += [(q, i, s, r) for r, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def test_best_matches_as_matrices(spark):
+    """Copies, ties, own rows, odd vectors and lengths, over several steps; no pair of vectors is a row of the plan."""
+    rng = random.Random(5)
+    pool = [(i, [rng.choice((-1.0, 0.0, 0.5, 1.0)) for _ in range(3)]) for i in range(400)] + [(400 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(400)]
+    pool += [(800 + i, [0.25, 0.5, -0.5]) for i in range(60)]
+    pool += [(900, None), (901, [1.0, None, 0.0]), (902, []), (903, [1.0]), (904, [math.nan, 0.0, 1.0]), (905, [math.inf, 0.0, 1.0]), (906, []), (907, [2.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+    queries = [p for p in pool if p[0] is None or p[0] % 7 == 0 or p[0] >= 900]
+    frames = [spark.createDataFrame(x, "id long, v array<double>") for x in (queries, pool)]
+    best = vectors.best_matches(*frames, 4)
+    assert "NestedLoop" not in best._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["query"], r["id"], math.inf if math.isnan(r["cosine"]) else r["cosine"], r["rank"]) for r in best.collect())
+    want = _brute(queries, pool, 4)
+    assert got == want and len(want) > 450
+    few = vectors.best_matches(*frames, 4, floor=0.9).collect()
+    assert sorted((r["query"], r["id"]) for r in few) == sorted((q, i) for q, i, s, _ in want if s >= 0.9)
+
+
+def test_best_matches_in_steps(spark, monkeypatch):
+    """Any size of step and any kind of id give the same rows."""
+    rng = random.Random(6)
+    pool = [(f"{i % 41:02d}é{i}", [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(pool, "id string, v array<float>")
+    want = _brute(pool, pool, 3)
+    for step in (1000, 7):
+        best = vectors._Best(*vectors._units(pa.array([p[0] for p in pool]), pa.array([p[1] for p in pool], pa.list_(pa.float64())))[4], 3, -2.0)
+        monkeypatch.setattr(vectors, "STEP_QUERIES", step)
+        best = vectors._Best(best.ids, best.x, 3, -2.0)
+        for a in range(0, 150, step):
+            best.add(best.ids[a : a + step], best.x[a : a + step])
+        assert sorted((q, i, s) for part in best.rows() for q, i, s in zip(*(x.tolist() for x in part), strict=True)) == [w[:3] for w in want]
+    assert sorted(rows(vectors.best_matches(df, df, 3), "query", "id", "cosine", "rank")) == want

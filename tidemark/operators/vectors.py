@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +22,152 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
+#: Queries and rows of the pool whose scores one step holds; candidates that are scored exactly at once.
+STEP_QUERIES, STEP_ROWS, STEP_EXACT = 1024, 4096, 1 << 16
+#: Pairs of a task, about a minute's work; smaller jobs have a task per core.
+TASK_PAIRS = 10_000_000_000
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows, summed from the first component to the last, as ``dot`` and DuckDB do."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _nine_places(x: np.ndarray) -> np.ndarray:
+    y = np.abs(x) * 1e9
+    whole = np.floor(y)
+    return np.copysign((whole + (y - whole >= 0.5)) / 1e9, x) + 0.0
+
+
+def _units(ids: pa.Array, lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: ids and unit vectors, as ``unit`` makes them."""
+    ids, offsets = ids.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    flat, starts, widths = lists.flatten().to_numpy(zero_copy_only=False), offsets[:-1] - offsets[0], np.diff(offsets)
+    out = {}
+    with np.errstate(all="ignore"):
+        for w in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == w)
+            x = flat[starts[at][:, None] + np.arange(w)]
+            n = np.sqrt(_dots(x, x))[:, None]
+            out[w] = ids[at], np.where(n == 0, x, x / n)
+    return out
+
+
+class _Best:
+    """The k best rows of one pool for each of a block of queries of one width.
+
+    Scores of a step come from a matrix product; what is within its error of a
+    query's k best is scored again in ``dot``'s order, so that ties are exact.
+    A score that isn't a number comes first, as in Spark's order.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: float):
+        self.ids, self.x, self.k, self.floor = ids, x, k, floor
+        # nine places, and the rounding of a sum of so many products
+        self.margin = 2e-9 + 1e-15 * x.shape[1]
+        self.worst = np.full(len(ids), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * -(-len(ids) // STEP_QUERIES)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        if x.shape[1] and len(ids) > self.k + 1:
+            # of equal vectors only the k + 1 of the smallest ids can be among a query's k best: itself and k others
+            keys = np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel()
+            _, group = np.unique(keys, return_inverse=True)
+            few = self._first(group, self.k + 1)
+            ids, x = ids[few], x[few]
+        for i in range(len(self.found)):
+            self._step(i, ids, x)
+
+    @staticmethod
+    def _first(group: np.ndarray, n: int) -> np.ndarray:
+        """Places of the first n of each group, in order."""
+        order = np.argsort(group, kind="stable")
+        edge = np.flatnonzero(np.diff(group[order], prepend=-1))
+        place = np.arange(len(group)) - np.repeat(edge, np.diff(np.append(edge, len(group))))
+        return np.sort(order[place < n])
+
+    def _step(self, i: int, ids: np.ndarray, x: np.ndarray) -> None:
+        mine = slice(i * STEP_QUERIES, (i + 1) * STEP_QUERIES)
+        own, q, worst = self.ids[mine], self.x[mine], self.worst[mine]
+        with np.errstate(all="ignore"):
+            scores = q @ x.T
+        scores[np.isnan(scores)] = np.inf
+        least = worst
+        if len(ids) > self.k + 1 and np.isneginf(worst).any():
+            least = np.maximum(least, np.partition(scores, -(self.k + 1), axis=1)[:, -(self.k + 1)])
+        row, at = np.nonzero(scores >= np.maximum(least, self.floor)[:, None] - self.margin)
+        other = own[row] != ids[at]
+        row, at = row[other], at[other]
+        if not len(row):
+            return
+        with np.errstate(all="ignore"):
+            exact = np.concatenate([_nine_places(_dots(q[row[a : a + STEP_EXACT]], x[at[a : a + STEP_EXACT]])) for a in range(0, len(row), STEP_EXACT)])
+        exact[np.isnan(exact)] = np.inf
+        fine = exact >= self.floor
+        new = row[fine], exact[fine], ids[at[fine]]
+        row, score, found = new if self.found[i] is None else (np.concatenate(z) for z in zip(self.found[i], new, strict=True))
+        place = np.unique(found, return_inverse=True)[1]
+        order = np.lexsort((place, -score, row))
+        order = order[self._first(row[order], self.k)]
+        self.found[i] = row, score, found = row[order], score[order], found[order]
+        full = np.flatnonzero(np.bincount(row, minlength=len(own)) >= self.k)
+        worst[full] = score[np.searchsorted(row, full, side="right") - 1]
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, id, cosine), a step's queries at a time."""
+        for i, found in enumerate(self.found):
+            if found is not None:
+                row, score, ids = found
+                yield self.ids[i * STEP_QUERIES + row], ids, np.where(np.isinf(score), np.nan, score)
+
+
+def _searcher(packed, k: int, floor: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, queries = packed.value
+        best = {w: _Best(ids, x, k, floor) for w, (ids, x) in queries.items()}
+        of = None
+        for batch in batches:
+            of = batch.schema.field("id").type
+            for a in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(a, STEP_ROWS)
+                for w, (ids, x) in _units(part.column("id"), part.column("v")).items():
+                    if w in best:
+                        best[w].add(ids, x)
+        for one in best.values():
+            for query, ids, cosine in one.rows():
+                yield pa.RecordBatch.from_arrays([pa.array(query, kind), pa.array(ids, of), pa.array(cosine)], names=["query", "id", "cosine"])
+
+    return run
+
+
 def best_matches(queries: DataFrame, pool: DataFrame, k: int = 1, floor: float = -2.0, block_bytes: int = 32 << 20) -> DataFrame:
     """query, id, cosine, rank: the k best of (id, v) for each query (id, v), by nine-place cosines, ties to smaller ids.
 
-    Query ids are distinct.  The stated query set is broadcast in blocks of
-    about ``block_bytes``, dealt by hash; the pool is scanned once a block, and
-    each task keeps k rows per query.
+    Query ids are distinct.  Vectors that are null or hold nulls take no part,
+    and vectors of different lengths don't meet.  The stated query set is
+    broadcast in blocks of about ``block_bytes``, dealt by hash; the driver
+    holds one block at a time.  The pool is dealt out over the cores and
+    compared with each block as matrices, and each task keeps k rows per query.
     """
-    seen = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    blocks = max(1, -(-seen["n"] * (8 * max(seen["width"] or 0, 0) + 64) // block_bytes))
-    q = queries.select(F.col("id").alias("query"), unit(F.col("v")).alias("qv"))
-    p = pool.select("id", unit(F.col("v")).alias("v"))
+    spark = pool.sparkSession
+    usable = [d.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull())) for d in (queries, pool)]
+    n, width = usable[0].agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * (8 * (width or 0) + 64) // block_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n * usable[1].count() // TASK_PAIRS))
+    dealt = usable[1].repartition(tasks)
+    schema = f"query {queries.schema['id'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, cosine double"
     scored = None
     for i in range(blocks):
-        part = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
-        pairs = p.join(part, p["id"] != part["query"]).select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 9).alias("cosine")).where(F.col("cosine") >= floor)
-        scored = pairs if scored is None else scored.unionByName(pairs)
+        held = usable[0].where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        parts = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (held["id"], held["v"])]
+        packed = spark.sparkContext.broadcast((held.schema.field("id").type, _units(*parts)))
+        found = dealt.mapInArrow(_searcher(packed, k, floor), schema)
+        scored = found if scored is None else scored.unionByName(found)
     order = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
