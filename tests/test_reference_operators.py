@@ -476,3 +476,9 @@ def test_best_matches_in_steps(spark, monkeypatch):
             best.add(best.ids[a : a + step], best.x[a : a + step])
         assert sorted((q, i, s) for part in best.rows() for q, i, s in zip(*(x.tolist() for x in part), strict=True)) == [w[:3] for w in want]
     assert sorted(rows(vectors.best_matches(df, df, 3), "query", "id", "cosine", "rank")) == want
+
+
+def test_cosine_best_other_has_no_pairs_as_rows(spark, sf):
+    df = catalogue.cosine_best_other(spark, sf)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() <= spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
