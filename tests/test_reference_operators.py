@@ -482,3 +482,9 @@ def test_cosine_best_other_has_no_pairs_as_rows(spark, sf):
     df = catalogue.cosine_best_other(spark, sf)
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() <= spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
+
+
+def test_knn_vote_has_no_pairs_as_rows(spark, sf):
+    df = catalogue.knn_vote(spark, sf)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
