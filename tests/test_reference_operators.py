@@ -488,3 +488,22 @@ def test_knn_vote_has_no_pairs_as_rows(spark, sf):
     df = catalogue.knn_vote(spark, sf)
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
+
+
+def test_quantiles_without_all_distinct_values_in_one_task(spark, sf, monkeypatch):
+    """The same for any number of values picked on the driver; the plan aggregates no column into one row's buffer."""
+    import numpy as np
+
+    rng = random.Random(7)
+    many = [rng.gauss(0, 1) for _ in range(2000)] + [0.25] * 1500 + [-0.0, 0.0, 1e300, -1e300]
+    for data, points in ((many, (0.0, 0.01, 0.3, 0.5, 0.61, 0.99, 1.0)), ([3.0] * 50, (0.0, 0.5)), ([1.0, 2.0], (0.0, 0.25, 1.0)), ([5.0], (0.5,))):
+        df = spark.createDataFrame([(x,) for x in [*data, None]], "x double")
+        for most in (100_000, 40, 1):
+            monkeypatch.setattr(vectors, "RANGE_ROWS", most)
+            out = vectors.quantiles(df, "x", points)
+            assert list(out.first()) == pytest.approx(np.quantile(data, points).tolist(), rel=1e-12, abs=1e-12)
+    odd = spark.createDataFrame([(x,) for x in (1.0, 2.0, math.inf, math.nan, math.nan)], "x double")
+    low, middle, high = vectors.quantiles(odd, "x", (0.25, 0.5, 1.0)).first()
+    assert (low, middle) == (2.0, math.inf) and math.isnan(high)
+    assert list(vectors.quantiles(odd.limit(0), "x").first()) == [None] * 3
+    assert "percentile" not in catalogue.percentile_calibration(spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +180,88 @@ def vote(matches: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.groupBy("query").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("vote"))
 
 
+#: Rows among which a percentile's value is picked on the driver; more are narrowed down first.
+RANGE_ROWS = 100_000
+#: One in so many rows is a sketch's error of rank.
+ACCURACY = 10_000
+
+
+class _Rank:
+    """Where the value of a rank (from 0) of a column lies: between ``low`` and ``high``, both excluded, None for no bound.
+
+    ``below`` values aren't above ``low``, ``end`` are below ``high``.
+    """
+
+    def __init__(self, rank: int, n: int):
+        self.rank, self.low, self.high, self.below, self.end = rank, None, None, 0, n
+        self.value: float | None = None
+
+    def wide(self) -> bool:
+        return self.value is None and self.end - self.below > RANGE_ROWS
+
+    def inside(self, v: Column) -> Column:
+        return (F.lit(True) if self.low is None else v > self.low) & (F.lit(True) if self.high is None else v < self.high)
+
+    def shares(self) -> list[float]:
+        """Shares of the range a little below and a little above the value looked for."""
+        at, slack = (self.rank - self.below) / (self.end - self.below), 2 / ACCURACY
+        return [max(0.0, at - slack), min(1.0, at + slack)]
+
+    def narrow(self, cut: float, less: int, upto: int) -> None:
+        """``less`` values are below the cut, ``upto`` aren't above it."""
+        if self.rank >= upto:
+            if upto > self.below:
+                self.low, self.below = cut, upto
+        elif self.rank >= less:
+            self.value = cut
+        elif less < self.end:
+            self.high, self.end = cut, less
+
+    def pick(self, values: np.ndarray, counts: np.ndarray) -> float:
+        """The value, given all sorted values of the range with their counts, and maybe others."""
+        if self.value is None:
+            a = 0 if self.low is None else np.searchsorted(values, self.low, side="right")
+            b = len(values) if self.high is None else np.searchsorted(values, self.high)
+            self.value = float(values[a + np.searchsorted(np.cumsum(counts[a:b]), self.rank - self.below, side="right")])
+        return self.value
+
+
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:
-    """Exact, interpolated percentiles."""
-    return df.agg(*[F.percentile(column, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in points])
+    """Exact, interpolated percentiles; null where no value is.
+
+    No task holds the column's distinct values.  A sketch of bounded size gives
+    two cuts around each value looked for, and how many values are below the
+    cuts is counted; that is repeated until at most ``RANGE_ROWS`` values are
+    left between two cuts, whatever the sketch's error, and these are counted
+    by value and reach the driver.
+    """
+    v = F.col("v")
+    values = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull())
+    n = values.count()
+    at = [(n - 1) * p for p in points]
+    ranks = {r: _Rank(r, n) for x in at for r in (math.floor(x), math.ceil(x))} if n else {}
+    while wide := [r for r in ranks.values() if r.wide()]:
+        ranges: dict[tuple[int, int], list[_Rank]] = {}
+        for r in wide:
+            ranges.setdefault((r.below, r.end), []).append(r)
+        # one sketch a range
+        sketches = [F.percentile_approx(F.when(same[0].inside(v), v), [x for r in same for x in r.shares()], ACCURACY).alias(f"c{i}") for i, same in enumerate(ranges.values())]
+        cuts = sorted({c for found in values.agg(*sketches).first() for c in found})
+        counted = values.agg(*[F.count(F.when(test, 1)).alias(f"n{i}{k}") for i, c in enumerate(cuts) for k, test in enumerate((v < c, v <= c))]).first()
+        for r in wide:
+            for c, less, upto in zip(cuts, counted[::2], counted[1::2], strict=True):
+                r.narrow(c, less, upto)
+    left = [r.inside(v) for r in ranks.values() if r.value is None]
+    found = values.where(reduce(lambda a, b: a | b, left)).groupBy("v").agg(F.count("*").alias("n")).toArrow().sort_by("v") if left else None
+    seen = (found["v"].to_numpy(), found["n"].to_numpy()) if found else (np.zeros(0), np.zeros(0))
+    out = []
+    for p, x in zip(points, at, strict=True):
+        value = None
+        if n:
+            low, high = (ranks[r(x)].pick(*seen) for r in (math.floor, math.ceil))
+            value = low if low == high or math.isnan(high) and math.isnan(low) else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+        out.append(F.lit(value).cast("double").alias(f"p{round(p * 100):02d}"))
+    return df.sparkSession.range(1).select(*out)
 
 
 def bootstrap_auc(scored: DataFrame, rounds: int = 1000, seed: int = 20260901, most: int = 200_000) -> tuple[float, float]:
