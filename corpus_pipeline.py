@@ -6,28 +6,48 @@ kept.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, pii, toxicity
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, give_back
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def fresh(stage: Stage) -> Stage:
+    """The stage, begun once the executors have given back the heap that the stage before used."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@fresh
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, fitted on the documents of this stage, rejects."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@fresh
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest doc_id of each group of copies and near copies."""
     return jaccard.keep_one(docs)
 
 
+@fresh
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a window of the benchmark occurs."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@fresh
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind in brackets, and bring n_chars up to date."""
     out = pii.redact_pii(docs)
@@ -36,6 +56,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out
 
 
+@fresh
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text, decode it again, and return the digests of both per document."""
     import public_tokenizers

@@ -388,3 +388,24 @@ def test_pipeline_stages(spark, sf):
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in tables[3].collect()} == {(i, t, len(t)) for i, t in redacted.items()}
     assert {(r["doc_id"], r["decoded_sha256"]) for r in tables[4].collect()} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in redacted.items()}
     assert rows(corpus_pipeline.run(spark, sf), *tables[4].columns) == rows(tables[4], *tables[4].columns)
+
+
+def test_every_stage_begins_with_the_heap_given_back(spark, sf, monkeypatch):
+    """One full collection an executor at least, before each stage's own work."""
+    from tidemark.llm import shared
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep", "Global", "Cycles")))
+
+    before = full()
+    shared.give_back(spark)
+    # one by the driver, and as many as tasks: in local mode they are of one JVM
+    assert full() - before > 1
+    given = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", given.append)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, sf)
+        assert len(given) == i

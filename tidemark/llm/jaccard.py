@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.repeats import _lists, _words
-from tidemark.llm.shared import Scratch, copies_of, gram_hashes, map_texts, mix, small, sweep, unique_ids
+from tidemark.llm.shared import Scratch, copies_of, give_back, gram_hashes, map_texts, mix, small, unique_ids
 
 #: Share of the tokens, by hash, whose rarity is counted.
 COUNTED = 0.3
@@ -250,7 +250,7 @@ def _link(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     firsts = sketch.where("n > 0").join(small(copies.select("doc_id")), "doc_id", "left_anti")
     common = firsts.select(F.explode("counted").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     common = scratch.table(common, "common")
-    sweep(spark)
+    give_back(spark)
 
     shared = firsts.select("doc_id", F.explode("counted").alias("t")).join(common, "t")
     seen = shared.groupBy("doc_id").agg(F.collect_list(F.struct("df", "t")).alias("seen"))
@@ -274,7 +274,7 @@ def _link(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     groups = scratch.table(each.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t"), "groups")
     posts = scratch.table(each.join(groups, "t").select("t", "doc_id", "n"), "posts")
     scratch.drop("sketch", "common")
-    sweep(spark)
+    give_back(spark)
 
     leads = scratch.table(posts.groupBy("t").agg(F.min(F.xxhash64("doc_id")).alias("lead")), "leads")
     family = posts.join(leads, "t").select("lead", "doc_id", "n").distinct()
@@ -307,11 +307,11 @@ def _link(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     marked = sets.join(prefixes.select("doc_id", "p1", "p2", "p3"), "doc_id").select("doc_id", "set", "p1", "p2", "p3")
     marked = scratch.table(marked.mapInArrow(_marked, "doc_id long, set array<long>, marks binary"), "marked")
     scratch.drop("sets", "prefixes", "posts", "family")
-    sweep(spark)
+    give_back(spark)
     tasks = work.join(marked, "doc_id").select("lead", "pair", "side", "doc_id", "set", "marks")
     links = scratch.table(tasks.groupBy("lead", "pair").applyInArrow(compare, "a long, b long"), "links")
     scratch.drop("marked", "work")
-    sweep(spark)
+    give_back(spark)
     labels = components(links, scratch, "all").select("doc_id", F.col("root").alias("label"))
 
     roots = labels.where("doc_id <> label").select("doc_id", F.col("label").alias("root"))

@@ -267,6 +267,18 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the executors' JVMs return the heap that a finished stage used and the next may not need.
+
+    A heap grows to its limit over a long job, and stays so, beside the memory
+    of the Python workers.  A full collection shrinks it to what is in use;
+    one short task per core reaches every executor with free cores.
+    """
+    sweep(spark)
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a written table, marked for broadcast if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df
