@@ -478,6 +478,26 @@ def test_best_matches_in_steps(spark, monkeypatch):
     assert sorted(rows(vectors.best_matches(df, df, 3), "query", "id", "cosine", "rank")) == want
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_best_rows_from_single_precision(monkeypatch, k):
+    """Products are of single precision; scores that are equal in it, odd vectors and any lengths still give the exact rows."""
+    rng = random.Random(7)
+    near = [rng.gauss(0, 1) for _ in range(5)]
+    pool = [(i, [x + rng.choice((0, 1e-8, 3e-8, -2e-8, 5e-7)) * rng.random() for x in near]) for i in range(150)] + [(150 + i, [1e3 * rng.gauss(0, 1) for _ in range(5)]) for i in range(150)]
+    pool += [(300, [math.nan] * 5), (301, [math.inf, 0.0, 1.0, 2.0, 3.0]), (302, [0.0] * 5), (303, [1e-160] * 5), (304, [2e-162, 1e-170, 1.5e-162, 1.5e-162, 1.5e-162]), (305, [1e200] * 5), (306, [-1e-39, 1e-45, 1.0, 0.0, 1e-8])]
+    rng.shuffle(pool)
+    queries = [p for p in pool if p[0] % 4 == 0 or p[0] >= 300]
+    monkeypatch.setattr(vectors, "SCORE_ROWS", 23)
+    monkeypatch.setattr(vectors, "STEP_QUERIES", 50)
+    units = [vectors._units(pa.array([i for i, _ in x]), pa.array([v for _, v in x], pa.list_(pa.float64())))[5] for x in (queries, pool)]
+    best = vectors._Best(*units[0], k, -2.0)
+    assert best._scores(slice(0, 9), vectors._Single(units[1][1]), 0, 7).dtype == "float32"
+    for a in range(0, len(pool), 70):
+        best.add(units[1][0][a : a + 70], units[1][1][a : a + 70])
+    got = sorted((q, i, math.inf if math.isnan(s) else s) for part in best.rows() for q, i, s in zip(*(x.tolist() for x in part), strict=True))
+    assert got == [w[:3] for w in _brute(queries, pool, k)]
+
+
 def test_cosine_best_other_has_no_pairs_as_rows(spark, sf):
     df = catalogue.cosine_best_other(spark, sf)
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()

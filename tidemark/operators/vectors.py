@@ -24,10 +24,10 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-#: Queries and rows of the pool whose scores one step holds; candidates that are scored exactly at once.
-STEP_QUERIES, STEP_ROWS, STEP_EXACT = 1024, 4096, 1 << 16
+#: Queries, rows of the pool of one step, and rows whose scores with the step's queries are held at once; candidates that are scored exactly at once.
+STEP_QUERIES, STEP_ROWS, SCORE_ROWS, STEP_EXACT = 1024, 4096, 512, 1 << 16
 #: Pairs of a task, about a minute's work; smaller jobs have a task per core.
-TASK_PAIRS = 10_000_000_000
+TASK_PAIRS = 20_000_000_000
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,19 +58,30 @@ def _units(ids: pa.Array, lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np
     return out
 
 
+class _Single:
+    """Vectors in single precision; which of them hold what isn't a number, they are zeros here; the greatest length."""
+
+    def __init__(self, x: np.ndarray):
+        self.odd = ~np.isfinite(x).all(axis=1)
+        self.any_odd = bool(self.odd.any())
+        fine = np.where(self.odd[:, None], 0.0, x)
+        self.x, self.length = fine.astype(np.float32), math.sqrt(np.einsum("ij,ij->i", fine, fine).max(initial=0.0))
+
+
 class _Best:
     """The k best rows of one pool for each of a block of queries of one width.
 
-    Scores of a step come from a matrix product; what is within its error of a
-    query's k best is scored again in ``dot``'s order, so that ties are exact.
-    A score that isn't a number comes first, as in Spark's order.
+    Scores come from matrix products in single precision; what is within their
+    error of a query's k best is scored again in ``dot``'s order, so that the
+    rows and ties are exact.  A score that isn't a number comes first, as in
+    Spark's order.
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: float):
         self.ids, self.x, self.k, self.floor = ids, x, k, floor
-        # nine places, and the rounding of a sum of so many products
-        self.margin = 2e-9 + 1e-15 * x.shape[1]
-        self.worst = np.full(len(ids), -np.inf)
+        self.single = _Single(x)
+        #: No more than the score of a query's k-th best.
+        self.least = np.full(len(ids), -np.inf)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * -(-len(ids) // STEP_QUERIES)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -82,8 +93,9 @@ class _Best:
             _, group = np.unique(keys, return_inverse=True)
             few = self._first(group, self.k + 1)
             ids, x = ids[few], x[few]
+        single = _Single(x)
         for i in range(len(self.found)):
-            self._step(i, ids, x)
+            self._step(i, ids, x, single)
 
     @staticmethod
     def _first(group: np.ndarray, n: int) -> np.ndarray:
@@ -93,16 +105,35 @@ class _Best:
         place = np.arange(len(group)) - np.repeat(edge, np.diff(np.append(edge, len(group))))
         return np.sort(order[place < n])
 
-    def _step(self, i: int, ids: np.ndarray, x: np.ndarray) -> None:
+    def _scores(self, mine: slice, pool: _Single, a: int, b: int) -> np.ndarray:
+        """Scores of queries with the rows from a to b, in single precision."""
+        scores = self.single.x[mine] @ pool.x[a:b].T
+        if pool.any_odd:
+            scores[:, pool.odd[a:b]] = np.inf
+        if self.single.any_odd:
+            # all rows of the pool are equal to a query that isn't numbers, the first ids do
+            scores[self.single.odd[mine]] = np.where(np.arange(a, b) <= self.k, np.inf, -np.inf)
+        return scores
+
+    def _step(self, i: int, ids: np.ndarray, x: np.ndarray, pool: _Single) -> None:
         mine = slice(i * STEP_QUERIES, (i + 1) * STEP_QUERIES)
-        own, q, worst = self.ids[mine], self.x[mine], self.worst[mine]
-        with np.errstate(all="ignore"):
-            scores = q @ x.T
-        scores[np.isnan(scores)] = np.inf
-        least = worst
-        if len(ids) > self.k + 1 and np.isneginf(worst).any():
-            least = np.maximum(least, np.partition(scores, -(self.k + 1), axis=1)[:, -(self.k + 1)])
-        row, at = np.nonzero(scores >= np.maximum(least, self.floor)[:, None] - self.margin)
+        own, q, least = self.ids[mine], self.x[mine], self.least[mine]
+        # of components rounded to single precision, their products and the sums of these
+        error = 1.01 * (x.shape[1] + 8) * 2.0**-24 * self.single.length * pool.length
+        if len(ids) > self.k + 1 and np.isneginf(least).any():
+            least[:] = np.maximum(least, np.partition(self._scores(mine, pool, 0, len(ids)), -(self.k + 1), axis=1)[:, -(self.k + 1)].astype(np.float64) - error)
+        # nine places as well
+        bound = np.nextafter((np.maximum(least, self.floor) - error - 2e-9).astype(np.float32), np.float32(-np.inf))
+        near = []
+        for a in range(0, len(ids), SCORE_ROWS):
+            scores = self._scores(mine, pool, a, min(a + SCORE_ROWS, len(ids)))
+            some = np.flatnonzero(scores.max(axis=1) >= bound)
+            if len(some):
+                row, at = np.nonzero(scores[some] >= bound[some, None])
+                near.append((some[row], at + a))
+        if not near:
+            return
+        row, at = (np.concatenate(z) for z in zip(*near, strict=True))
         other = own[row] != ids[at]
         row, at = row[other], at[other]
         if not len(row):
@@ -110,15 +141,22 @@ class _Best:
         with np.errstate(all="ignore"):
             exact = np.concatenate([_nine_places(_dots(q[row[a : a + STEP_EXACT]], x[at[a : a + STEP_EXACT]])) for a in range(0, len(row), STEP_EXACT)])
         exact[np.isnan(exact)] = np.inf
-        fine = exact >= self.floor
-        new = row[fine], exact[fine], ids[at[fine]]
-        row, score, found = new if self.found[i] is None else (np.concatenate(z) for z in zip(self.found[i], new, strict=True))
+        fine = exact >= np.maximum(least[row] - 1e-9, self.floor)
+        row, score, found = row[fine], exact[fine], ids[at[fine]]
+        if not len(row):
+            return
+        rest = None
+        if self.found[i] is not None:
+            anew = np.isin(self.found[i][0], row)
+            rest = [z[~anew] for z in self.found[i]]
+            row, score, found = (np.concatenate((z[anew], new)) for z, new in zip(self.found[i], (row, score, found), strict=True))
         place = np.unique(found, return_inverse=True)[1]
         order = np.lexsort((place, -score, row))
         order = order[self._first(row[order], self.k)]
-        self.found[i] = row, score, found = row[order], score[order], found[order]
+        row, score, found = row[order], score[order], found[order]
         full = np.flatnonzero(np.bincount(row, minlength=len(own)) >= self.k)
-        worst[full] = score[np.searchsorted(row, full, side="right") - 1]
+        least[full] = score[np.searchsorted(row, full, side="right") - 1]
+        self.found[i] = (row, score, found) if rest is None else tuple(np.concatenate(z) for z in zip(rest, (row, score, found), strict=True))
 
     def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, id, cosine), a step's queries at a time."""
@@ -160,7 +198,7 @@ def best_matches(queries: DataFrame, pool: DataFrame, k: int = 1, floor: float =
     usable = [d.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull())) for d in (queries, pool)]
     n, width = usable[0].agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * (8 * (width or 0) + 64) // block_bytes))
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n * usable[1].count() // TASK_PAIRS))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n * usable[1].count() // (blocks * TASK_PAIRS)))
     dealt = usable[1].repartition(tasks)
     schema = f"query {queries.schema['id'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, cosine double"
     scored = None
