@@ -510,6 +510,17 @@ def test_knn_vote_has_no_pairs_as_rows(spark, sf):
     assert df.count() == spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
 
 
+def test_knn_vote_deals_vectors_as_they_are(spark, sf):
+    """Vectors of single precision are shuffled and sent so; types beside it give the same matches."""
+    assert "as array<double>" not in catalogue.knn_vote(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    vecs = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    both = [vectors.best_matches(x.where("id % 20 = 0"), x, 5) for x in (vecs, vecs.select("id", F.col("v").cast("array<double>")))]
+    assert "as array<double>" not in both[0]._jdf.queryExecution().executedPlan().toString()
+    assert rows(both[0], "query", "id", "cosine", "rank") == rows(both[1], "query", "id", "cosine", "rank")
+    whole = spark.createDataFrame([(1, [3, 4]), (2, [4, 3]), (3, None)], "id long, v array<int>")
+    assert rows(vectors.best_matches(whole, whole), "query", "id", "cosine") == [(1, 2, 0.96), (2, 1, 0.96)]
+
+
 def test_quantiles_without_all_distinct_values_in_one_task(spark, sf, monkeypatch):
     """The same for any number of values picked on the driver; the plan aggregates no column into one row's buffer."""
     import numpy as np

@@ -47,7 +47,7 @@ def _nine_places(x: np.ndarray) -> np.ndarray:
 def _units(ids: pa.Array, lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By width: ids and unit vectors, as ``unit`` makes them."""
     ids, offsets = ids.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    flat, starts, widths = lists.flatten().to_numpy(zero_copy_only=False), offsets[:-1] - offsets[0], np.diff(offsets)
+    flat, starts, widths = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), offsets[:-1] - offsets[0], np.diff(offsets)
     out = {}
     with np.errstate(all="ignore"):
         for w in np.unique(widths).tolist():
@@ -195,7 +195,8 @@ def best_matches(queries: DataFrame, pool: DataFrame, k: int = 1, floor: float =
     compared with each block as matrices, and each task keeps k rows per query.
     """
     spark = pool.sparkSession
-    usable = [d.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull())) for d in (queries, pool)]
+    # what has no more than single precision is dealt and sent as it is
+    usable = [d.select("id", (F.col("v") if d.schema["v"].dataType.simpleString() == "array<float>" else F.col("v").cast("array<double>")).alias("v")).where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull())) for d in (queries, pool)]
     n, width = usable[0].agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * (8 * (width or 0) + 64) // block_bytes))
     tasks = max(spark.sparkContext.defaultParallelism, -(-n * usable[1].count() // (blocks * TASK_PAIRS)))
